@@ -5,7 +5,7 @@ Layout, all integers little-endian:
     block*   entries, then the CRC-32 of the entries (4 bytes)
     index    per block: length of its last key (2), last key, offset (8), length without CRC (4)
     bloom    number of probes (4), bits
-    footer   index offset, index length, bloom offset, bloom length, entries (8 each), magic (8)
+    footer   index offset, index length, bloom offset, bloom length, entries (8 each), tag (4; the caller's), magic (8)
 
 An entry is: varint length shared with the key before, varint length of the rest, varint value length, rest of the
 key, value. A block's first key is whole. Keys may repeat; equal keys keep the order they were added in.
@@ -26,7 +26,7 @@ MAGIC = b"LGSST\x00\x00\x01"
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY = 10
 BLOOM_PROBES = 7
-_FOOTER = struct.Struct("<QQQQQ8s")
+_FOOTER = struct.Struct("<QQQQQI8s")
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -66,8 +66,8 @@ def _probes(hashes: np.ndarray, bits: int, probes: int) -> np.ndarray:
 class Writer:
     """Streams entries in key order to an open file; holds one block, the index and a hash for each key."""
 
-    def __init__(self, file: BinaryIO, block_bytes: int = BLOCK_BYTES):
-        self.file, self.block_bytes = file, block_bytes
+    def __init__(self, file: BinaryIO, block_bytes: int = BLOCK_BYTES, tag: int = 0):
+        self.file, self.block_bytes, self.tag = file, block_bytes, tag
         self.block: list[bytes] = []
         self.size = self.offset = self.entries = 0
         self.last: bytes | None = None
@@ -111,7 +111,7 @@ class Writer:
             bits[_probes(np.array(self.hashes, np.uint64), len(bits), BLOOM_PROBES).ravel().astype(np.int64)] = 1
         bloom = struct.pack("<I", BLOOM_PROBES) + np.packbits(bits, bitorder="little").tobytes()
         at = self.offset
-        self.file.write(index + bloom + _FOOTER.pack(at, len(index), at + len(index), len(bloom), self.entries, MAGIC))
+        self.file.write(index + bloom + _FOOTER.pack(at, len(index), at + len(index), len(bloom), self.entries, self.tag, MAGIC))
         return at + len(index) + len(bloom) + _FOOTER.size
 
 
@@ -120,7 +120,7 @@ class Reader:
 
     def __init__(self, file: BinaryIO, size: int):
         self.file = file
-        i_at, i_len, b_at, b_len, self.entries, magic = _FOOTER.unpack(self._at(size - _FOOTER.size, _FOOTER.size))
+        i_at, i_len, b_at, b_len, self.entries, self.tag, magic = _FOOTER.unpack(self._at(size - _FOOTER.size, _FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a sorted-string table")
         raw = self._at(i_at, i_len)

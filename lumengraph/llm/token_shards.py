@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by id; each task encodes its texts and streams them into shards
 (``sstable``) in the cluster's shared folder, keyed by document id, each value the document's ids as little-endian
-unsigned 32-bit integers. A manifest table lists the shards in key order with their token totals, so that a
+unsigned integers of 16 bits where the vocabulary allows it, else 32 (the file's tag has the width). A manifest table lists the shards in key order with their token totals, so that a
 document's place in the whole stream is its shard's offset plus what its shard holds before it. A task that is run
 again writes files of new names; only those of the manifest count.
 
@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -85,6 +86,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.by_word = getattr(self.tok.model, "end_of_word_suffix", None) == "</w>" and self.tok.normalizer is not None
         self.words = _Words(self.tok)
+        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -124,10 +126,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if out is None:
                     name = f"{root}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
-                    out, tokens = sstable.Writer(store.open_output_stream(name)), 0
+                    out, tokens = sstable.Writer(store.open_output_stream(name), tag=enc.width), 0
                 ids = enc.encode(text or "") + end
                 tokens += len(ids) // 4
-                out.add(sstable.key_of(doc_id), ids)
+                out.add(sstable.key_of(doc_id), np.frombuffer(ids, "<u4").astype("<u2").tobytes() if enc.width == 2 else ids)
                 if out.offset >= SHARD_BYTES:
                     yield close()
                     out, seq = None, seq + 1
@@ -142,6 +144,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
     return shards.withColumn("offset", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long"))), folder
 
 
+def ids32(value: bytes, width: int) -> bytes:
+    """A stored value as unsigned 32-bit ids."""
+    return value if width == 4 else np.frombuffer(value, "<u2").astype("<u4").tobytes()
+
+
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the shards."""
 
@@ -152,7 +159,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 start = row["offset"]
                 ids, starts, sizes, sums = [], [], [], []
                 with store.open_input_file(row["path"]) as f:
-                    for key, value in sstable.Reader(f, row["bytes"]).scan():
+                    r = sstable.Reader(f, row["bytes"])
+                    for key, value in r.scan():
+                        value = ids32(value, r.tag)
                         ids.append(sstable.id_of(key))
                         starts.append(start)
                         sizes.append(len(value) // 4)
@@ -172,7 +181,7 @@ def lookup(manifest: DataFrame, folder: str, doc_ids: list[int | None]) -> dict[
         with store.open_input_file(row["path"]) as f:
             r = sstable.Reader(f, row["bytes"])
             for i in out:
-                out[i] += r.get(sstable.key_of(i))
+                out[i] += [ids32(v, r.tag) for v in r.get(sstable.key_of(i))]
     return out
 
 
