@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from lumengraph.llm import mixing
 from lumengraph.llm.token_count import op5_token_counts
 from lumengraph.llm.token_shards import op1_token_shards
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": mixing.op6_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
