@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lumengraph.llm import mixing
+from lumengraph.llm import licenses, mixing
 from lumengraph.llm.token_count import op5_token_counts
 from lumengraph.llm.token_shards import op1_token_shards
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op3_license_scan": licenses.op3_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op3_license_scan": licenses.oracle(),
     "op6_mixing": mixing.ORACLE,
 }
