@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumengraph.llm import fingerprints, licenses, media_columns, mixing
+from lumengraph.llm import fingerprints, licenses, media_columns, mixing, toxicity
 from lumengraph.llm.token_count import op5_token_counts
 from lumengraph.llm.token_shards import op1_token_shards
 
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_media_columns": media_columns.op9_media_columns,
 }
