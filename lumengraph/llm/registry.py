@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumengraph.llm import fingerprints, licenses, media_columns, mixing, toxicity
+from lumengraph.llm import fingerprints, jaccard_join, licenses, media_columns, mixing, toxicity
 from lumengraph.llm.token_count import op5_token_counts
 from lumengraph.llm.token_shards import op1_token_shards
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
