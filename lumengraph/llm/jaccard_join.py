@@ -20,6 +20,7 @@ component has no other; further columns are ignored; an empty table gives an emp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,46 +31,54 @@ from pyspark.sql import functions as F
 from lumengraph.llm import blobs, common
 from lumengraph.llm.components import components
 
+#: Bits of a node's parities.
+BITS = 512
 #: Words that a worker's cache may hold.
 CACHE = 500_000
 META = np.dtype([("uid", "<i8"), ("doc_id", "<i8"), ("null", "?"), ("n", "<i4"), ("sig1", "<i8"), ("sig2", "<i8")])
-PROFILES = "uid long, doc_id long, n int, sig1 long, sig2 long, free int, shared binary, prefix array<long>"
+PROFILES = "uid long, doc_id long, n int, sig1 long, sig2 long, free int, shared binary, prefix array<long>, bits array<long>"
 #: Bytes of one output batch of profiles.
 _OUT = 8 << 20
 
 
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+
 class Shingles:
-    """Distinct n-gram hashes of texts, 64 bits."""
+    """Distinct n-gram hashes of texts, 64 bits, ascending."""
 
     def __init__(self, words: int):
-        self.words, self.cache = words, {}
+        self.words, self.cache = words, _Words()
         self.factors = blobs.mixed(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
 
-    def of(self, text: bytes) -> np.ndarray:
-        found = text.lower().split()
-        if not found:
-            return np.empty(0, np.uint64)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        try:
-            h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-        except KeyError:
-            for w in set(found) - cache.keys():
-                cache[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-        k = self.words
-        if len(h) < k:
-            return blobs.mixed(np.array([(h * self.factors[: len(h)]).sum() + np.uint64(len(h))], np.uint64))
-        s = h[: len(h) - k + 1] * self.factors[0]
-        for i in range(1, k):
-            s = s + h[i : len(h) - k + 1 + i] * self.factors[i]
-        return np.unique(blobs.mixed(s))
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        found = [t.lower().split() for t in texts]
+        h = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(found)), np.uint64, sum(map(len, found)))
+        k, at = self.words, 0
+        s = h * self.factors[0]
+        for i in range(1, min(k, len(h))):
+            s[:-i] += h[i:] * self.factors[i]
+        s = blobs.mixed(s)
+        for words in found:
+            n = len(words)
+            if n >= k:
+                own = np.sort(s[at : at + n - k + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
+            elif n:
+                yield blobs.mixed(np.array([(h[at : at + n] * self.factors[:n]).sum() + np.uint64(n)], np.uint64))
+            else:
+                yield np.empty(0, np.uint64)
+            at += n
 
 
 def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """A row for each document: PROFILES. shared: keys of its shingles that others have too, in the common order; free:
-    how many it has alone; prefix: the shared ones within its prefix."""
+    how many it has alone; prefix: the shared ones within its prefix; bits: ``_parities`` of the shared ones."""
     size, parts = blobs.table_size(docs), blobs.partitions(docs)
     bits, homes = blobs.bits_for(size // 3, parts), blobs.homes_for(2 * size, parts)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -77,11 +86,10 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots() -> Iterator[tuple[int, bytes]]:
             s, p = Shingles(words), blobs.Packer(bits)
-            for b in common.slices(batches):
+            for b in common.slices(batches, 256):
                 meta = np.zeros(b.num_rows, META)
                 uids, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for i, (uid, doc_id, text) in enumerate(zip(uids, ids, common.utf8(b.column(2)), strict=True)):
-                    h = s.of(text)
+                for i, (uid, doc_id, h) in enumerate(zip(uids, ids, s.of(common.utf8(b.column(2))), strict=True)):
                     meta[i] = uid, doc_id or 0, doc_id is None, len(h), h.sum().astype(np.int64), blobs.mixed(h ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)
                     yield from p.add(uid, h)
                 home = blobs.home_of(meta["uid"], homes)
@@ -98,6 +106,7 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
         found = [blobs.unpack_found(x[1:]) for x in blocks if x[0]]
         uid = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
         keys = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.uint64)
+        meta = meta[np.argsort(meta["uid"])]
         order = np.lexsort((keys, uid))
         uid, keys = uid[order], keys[order]
         low, high = np.searchsorted(uid, meta["uid"]), np.searchsorted(uid, meta["uid"], side="right")
@@ -110,6 +119,7 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
                 total += 8 * int(high[cut] - low[cut])
                 cut += 1
             r = range(at, cut)
+            bits = _parities(keys[low[at] : high[cut - 1]], np.repeat(np.arange(cut - at), high[at:cut] - low[at:cut]), cut - at)
             m = meta[at:cut]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,6 +131,7 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
                     pa.array(free[at:cut].astype(np.int32)),
                     pa.array([keys[low[i] : high[i]].tobytes() for i in r], pa.binary()),
                     pa.array([keys[low[i] : low[i] + max(0, first[i])].astype(np.int64) for i in r], pa.list_(pa.int64())),
+                    pa.array(list(bits), pa.list_(pa.int64())),
                 ],
                 names=[x.split()[0] for x in PROFILES.split(", ")],
             )
@@ -131,6 +142,14 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
     return common.write_table(back.groupBy("slot").applyInArrow(profile, PROFILES), "profiles", compression="zstd")
 
 
+def _parities(keys: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row, ``BITS`` bits as 64-bit words: whether an odd number of its keys hash to the bit. Bits in which two rows
+    differ are at most as many as the keys that only one of them has."""
+    at = row * BITS + (blobs.mixed(keys) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=rows * BITS) & 1).astype(np.uint8).reshape(rows, BITS)
+    return np.packbits(odd, axis=1).view("<i8")
+
+
 def overlap_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     """At most so many keys in both ascending arrays: halves around a pivot can share no more than the smaller has."""
     if depth == 0 or not len(x) or not len(y):
@@ -159,10 +178,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _may_hold(n: str, m: str, i: str, j: str, percent: int):
-    """Length and positional filter: sizes n, m; positions i, j of a shared prefix shingle."""
-    long_enough = f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-    return F.expr(f"{long_enough} AND (least({i}, {j}) + least({n} - {i}, {m} - {j})) * {100 + percent} >= {percent} * ({n} + {m})")
+def _may_hold(x: str, y: str, percent: int, bits: bool):
+    """Length, positional and suffix filter of two nodes (n, free, i, bits) at a prefix shingle that both have: those before it
+    that others have too, and those from it on, bound the overlap; so do the parities of the shared ones, which take
+    the suffix filter's place in the join."""
+    need = f"{percent} * ({x}.n + {y}.n)"
+    long_enough = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    at = f"(least({x}.i - {x}.free, {y}.i - {y}.free) + least({x}.n - {x}.i, {y}.n - {y}.i)) * {100 + percent} >= {need}"
+    if not bits:
+        return F.expr(f"{long_enough} AND {at}")
+    differ = " + ".join(f"bit_count({x}.bits[{k}] ^ {y}.bits[{k}])" for k in range(BITS // 64))
+    return F.expr(f"{long_enough} AND {at} AND ({x}.n - {x}.free + {y}.n - {y}.free - ({differ})) * {100 + percent} >= 2 * {need}")
 
 
 def linked(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
@@ -172,24 +198,26 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     sig = ["n", "sig1", "sig2"]
     reps = common.write_table(p.filter("n > 0").groupBy(*sig).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nodes")
     nodes = p.filter(F.size("prefix") > 0).join(reps.select(F.col("node").alias("uid")), "uid", "left_semi")
-    nodes = common.write_table(nodes.select("uid", "n", "free", "shared", "prefix"), "node-sets", compression="zstd")
+    nodes = common.write_table(nodes.select("uid", "n", "free", "shared", "prefix", "bits"), "node-sets", compression="zstd")
     at = nodes.select("uid", "n", "free", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + F.col("free"))
     at = common.write_table(at, "prefixes", compression="zstd")
 
     hubs = at.groupBy("token").agg(F.min(F.struct("free", "uid", "n", "i")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("token", "hub")
-    first = at.join(hubs, "token").filter("uid <> hub.uid").filter(_may_hold("n", "hub.n", "i", "hub.i", percent))
-    first = common.write_table(first.select(F.least("uid", "hub.uid").alias("a"), F.greatest("uid", "hub.uid").alias("b")).distinct(), "pairs")
+    first = at.alias("x").join(hubs, "token").filter("x.uid <> hub.uid").filter(_may_hold("x", "hub", percent, bits=False))
+    first = common.write_table(first.select(F.least("x.uid", "hub.uid").alias("a"), F.greatest("x.uid", "hub.uid").alias("b")).distinct(), "pairs")
     links = common.write_table(verified(first, nodes, percent), "links")
     labels = components(links)
 
     known = labels.select(F.col("node").alias("uid"), "label")
     named = at.join(known, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     named = common.write_table(named, "prefixes", compression="zstd")
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    rest = common.write_table(named.join(mixed, "token", "left_semi"), "prefixes", compression="zstd")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, F.expr("x.token = y.token AND x.uid < y.uid AND x.label <> y.label")).filter(_may_hold("x.n", "y.n", "x.i", "y.i", percent))
-    more = more.select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    sizes = named.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("token", "main")
+    rest = named.join(mixed, "token").join(nodes.select("uid", "bits"), "uid")
+    rest = common.write_table(rest, "prefixes", compression="zstd")
+    x, y = rest.filter("label <> main").alias("x"), rest.alias("y")  # of two nodes, one isn't in the shingle's main component
+    more = x.join(y, F.expr("x.token = y.token AND x.label <> y.label AND (y.label = y.main OR x.uid < y.uid)")).filter(_may_hold("x", "y", percent, bits=True))
+    more = more.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     new = common.write_table(verified(common.write_table(more, "pairs"), nodes, percent), "links")
     if not new.isEmpty():
         labels = components(links.union(new))

@@ -49,7 +49,7 @@ class TokenCounter:
         cut = [self.pieces(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set().union(*(x for x, _ in cut)) - self.cache.keys())
+        new = [x for x in set().union(*(x for x, _ in cut)) if x not in self.cache]
         self.cache.update(zip(new, self.merger.count([x.encode() for x in new]).tolist(), strict=True))
         get = self.cache.__getitem__
         return [sum(map(get, x)) + n for x, n in cut]
