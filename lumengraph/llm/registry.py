@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumengraph.llm import fingerprints, jaccard_join, licenses, media_columns, mixing, toxicity
+from lumengraph.llm import fingerprints, jaccard_join, licenses, media_columns, mixing, suffix_dedup, toxicity
 from lumengraph.llm.token_count import op5_token_counts
 from lumengraph.llm.token_shards import op1_token_shards
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_media_columns": media_columns.op9_media_columns,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_license_scan": licenses.oracle(),
