@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumengraph.llm import fingerprints, jaccard_join, licenses, media_columns, mixing, suffix_dedup, toxicity
+from lumengraph.llm import fingerprints, jaccard_join, licenses, media_columns, mixing, sentencepieces, suffix_dedup, toxicity
 from lumengraph.llm.token_count import op5_token_counts
 from lumengraph.llm.token_shards import op1_token_shards
 
 QUERIES = {
     "op1_token_shards": op1_token_shards,
+    "op2_sentencepieces": sentencepieces.op2_sentencepieces,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_token_counts": op5_token_counts,
