@@ -32,6 +32,8 @@ from lumengraph.llm import common
 
 MARK = "▁"
 LONGEST = 60
+#: Characters by which the pieces that may start at a place are looked up first.
+HEAD = 4
 #: Bytes of text that share one dictionary.
 CHUNK = 8 << 20
 #: Pieces that the joined side may have for it to be broadcast.
@@ -60,10 +62,10 @@ class Model:
         self.texts = [x.piece for x in spec.pieces]
         self.normal = [(x.piece, i, float(x.score)) for i, x in enumerate(spec.pieces) if x.type in (p.NORMAL, p.USER_DEFINED)]
         self.bytes = {i: int(x.piece[3:5], 16) for i, x in enumerate(spec.pieces) if x.type == p.BYTE}
-        self.byte_base = min(self.bytes, default=-1)
+        self.byte_ids = {b: i for i, b in self.bytes.items()}
         self.unknown = next(i for i, x in enumerate(spec.pieces) if x.type == p.UNKNOWN)
         self.plain = {i for i, x in enumerate(spec.pieces) if x.type in (p.NORMAL, p.USER_DEFINED)}
-        self.longest = max(len(x) for x, _, _ in self.normal)
+        self.ids = {x: i for x, i, _ in self.normal}
         self.pairs = {x[i : i + 2] for x, _, _ in self.normal for i in range(len(x) - 1)}
         n.add_dummy_prefix = False
         self.library = SentencePieceProcessor(model_proto=spec.SerializeToString())
@@ -78,6 +80,12 @@ class Model:
         out.append(word[a:])
         return out
 
+    def ids_of(self, piece: str) -> list[int]:
+        """A piece's id, or those of its bytes."""
+        if piece in self.ids:
+            return [self.ids[piece]]
+        return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+
     def decode(self, ids: list[int]) -> str:
         out, run = [], bytearray()
         for i in ids:
@@ -104,39 +112,55 @@ def words(text: str | None) -> list[str]:
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
-    """(unit, ids) of distinct units of up to ``LONGEST`` characters."""
+    """(unit, pieces) of distinct units of up to ``LONGEST`` characters; a piece that the vocabulary lacks is one character."""
     m, spark = model(path), units.sparkSession
-    table = spark.createDataFrame([(t, i, -s) for t, i, s in m.normal], "piece string, id int, cost double")
+    least = 2 if m.kind == 2 else 1  # merges make pieces of two characters and more
+    ranks = {c: i for i, c in enumerate(sorted({-s for _, _, s in m.normal}))}
+    table = spark.createDataFrame([(t, ranks[-s], -s) for t, _, s in m.normal if len(t) >= least], "piece string, rank long, cost double")
+    reach: dict[str, int] = {}
+    for t, _, _ in m.normal:
+        if len(t) >= HEAD:
+            reach[t[:HEAD]] = max(len(t), reach.get(t[:HEAD], 0))
+    heads = spark.createDataFrame(list(reach.items()) or [("", 0)], "head string, reach int")
     if len(m.normal) <= BROADCAST:
-        table = F.broadcast(table)
+        table, heads = F.broadcast(table), F.broadcast(heads)
     n = F.length("unit")
     starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), n - F.col("start")))).alias("len"))
+    starts = starts.withColumn("head", F.substring("unit", F.col("start") + 1, F.lit(HEAD))).join(heads, "head", "left")
+    upto = F.least(F.coalesce("reach", F.lit(HEAD - 1)), n - F.col("start"))
+    spans = starts.filter(upto >= least).select("unit", "start", F.explode(F.sequence(F.lit(least), upto)).alias("len"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("len"))).join(table, "piece")
     end = F.col("start") + F.col("len")
-    edge = F.struct("cost", "start", end.alias("end"), "id", (F.call_function("shiftleft", F.lit(2).cast("long"), end - 1) - F.call_function("shiftleft", F.lit(2).cast("long"), F.col("start"))).alias("inner"))
+    if m.kind == 2:
+        ends = _left(1, F.col("start")) + _left(1, end)
+        edge = F.struct((F.col("rank") * 64 + F.col("start")).alias("order"), ends.alias("ends"), (_left(2, end) - _left(1, F.col("start"))).alias("span"))
+    else:
+        edge = F.struct("cost", "start", end.alias("end"))
     lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    lattice = units.join(lattice, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast(lattice.schema["edges"].dataType)))
-    cuts = _merged(n) if m.kind == 2 else _viterbi(n)
-    lattice = lattice.select("unit", "edges", cuts.alias("cuts"))
-    return lattice.select("unit", _ids(m).alias("ids"))
+    empty = F.array().cast(lattice.schema["edges"].dataType)
+    lattice = units.join(lattice, "unit", "left").select("unit", F.coalesce("edges", empty).alias("edges"))
+    lattice = lattice.select("unit", (_merged(n) if m.kind == 2 else _viterbi(n)).alias("cuts"))
+    pieces = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, i: F.substring("unit", a + 1, F.get("cuts", i + 1) - a))
+    return lattice.select("unit", pieces.alias("pieces"))
 
 
-def _bit(mask: Column, at: Column) -> Column:
-    return F.call_function("shiftright", mask, at).bitwiseAND(F.lit(1).cast("long")) == 1
+def _left(value: int, by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(value).cast("long"), by)
 
 
 def _merged(n: Column) -> Column:
-    """Open boundaries left when all merges are done, ascending: each merge is the edge of least cost, then start, whose
+    """Open boundaries left when all merges are done, ascending: each merge is the edge of least rank, then start, whose
     ends are open with one open boundary between."""
-    full = F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1
 
     def step(mask: Column, _: Column) -> Column:
-        able = F.filter("edges", lambda e: _bit(mask, e["start"]) & _bit(mask, e["end"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-        return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(able, F.lit(0))["inner"], F.lit(0).cast("long"))))
+        able = F.filter("edges", lambda e: (F.bit_count(mask.bitwiseAND(e["span"])) == 3) & (mask.bitwiseAND(e["ends"]) == e["ends"]))
+        first = F.get(able, F.lit(0))
+        # what lies between the ends is closed
+        return mask.bitwiseAND(F.bitwise_not(F.coalesce(first["span"] - first["ends"], F.lit(0).cast("long"))))
 
-    mask = F.aggregate(F.sequence(F.lit(1), n), full, step)
-    return F.element_at(F.transform(F.array(mask), lambda m: F.filter(F.sequence(F.lit(0), n), lambda i: _bit(m, i))), 1)
+    mask = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), _left(2, n) - 1, step)
+    bits = F.sequence(F.lit(0), n)
+    return F.element_at(F.transform(F.array(mask), lambda m: F.filter(bits, lambda i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1)), 1)
 
 
 def _viterbi(n: Column) -> Column:
@@ -153,19 +177,6 @@ def _viterbi(n: Column) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), zero, step), -1)["cuts"]
 
 
-def _ids(m: Model) -> Column:
-    """Ids between successive boundaries: an edge's, or the bytes of a character without a piece."""
-
-    def own(i: Column) -> Column:
-        a, z = F.get("cuts", i), F.get("cuts", i + 1)
-        edge = F.get(F.filter("edges", lambda e: (e["start"] == a) & (e["end"] == z)), F.lit(0))["id"]
-        raw = F.encode(F.substring("unit", a + 1, z - a), "UTF-8")
-        fallback = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.conv(F.substring(F.hex(raw), k * 2 - 1, F.lit(2)), 16, 10).cast("int") + m.byte_base)
-        return F.when(edge.isNotNull(), F.array(edge)).otherwise(fallback if m.bytes else F.array(F.lit(m.unknown)))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), own))
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids of every text, as ENCODED."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -202,23 +213,28 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         m = model(path)
-        known = {u: np.array(i, "<i4").tobytes() for u, i in zip(right.column("unit").to_pylist(), right.column("ids").to_pylist(), strict=True)}
+        known = dict(zip(right.column("unit").to_pylist(), right.column("pieces").to_pylist(), strict=True))
+
+        def ids(unit: str) -> list[int]:
+            return [i for p in known[unit] for i in m.ids_of(p)] if len(unit) <= LONGEST else m.library.encode(unit.replace(MARK, " "))
+
         memo: dict[str, bytes] = {}
         out = []
         for t in left.column("text").to_pylist():
             found = words(t)
             for w in found:
                 if w not in memo:
-                    memo[w] = b"".join(known[u] if len(u) <= LONGEST else np.array(m.library.encode(u.replace(MARK, " ")), "<i4").tobytes() for u in m.units(w.replace(" ", MARK)))
+                    memo[w] = np.array([i for u in m.units(w.replace(" ", MARK)) for i in ids(u)], "<i4").tobytes()
             out.append(b"".join(map(memo.__getitem__, found)))
         ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.table({"doc_id": left.column("doc_id"), "ids": ids})
+        found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        return pa.table({"doc_id": left.column("doc_id"), "ids": found})
 
     pairs = common.write_table(rows.mapInArrow(distinct, "chunk long, unit string"), "units", compression="zstd")
-    units = common.write_table(encode_units(pairs.select("unit").distinct(), path), "unit-ids", compression="zstd")
+    with common.setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000"):
+        units = common.write_table(encode_units(pairs.select("unit").distinct(), path), "unit-pieces", compression="zstd")
     common.release(docs.sparkSession)
-    known = pairs.join(units, "unit").select("chunk", "unit", "ids")
+    known = pairs.join(units, "unit").select("chunk", "unit", "pieces")
     texts = rows.mapInArrow(placed, "chunk long, doc_id long, text string")
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(join, ENCODED)
 
