@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python, so that very long texts stay within a worker's memory.
 ARROW_ROWS = 1024
@@ -29,6 +30,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def row_ids() -> Column:
+    """A number for each row of a stored table's scan: the same whenever it is scanned under the same settings, whichever
+    columns are read; successive within a task."""
+    return F.monotonically_increasing_id()
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share; unset (tests), a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")

@@ -81,7 +81,7 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
     how many it has alone; prefix: the shared ones within its prefix; bits: ``_parities`` of the shared ones."""
     size, parts = blobs.table_size(docs), blobs.partitions(docs)
     bits, homes = blobs.bits_for(size // 3, parts), blobs.homes_for(2 * size, parts)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(common.row_ids().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots() -> Iterator[tuple[int, bytes]]:
@@ -192,7 +192,8 @@ def _may_hold(x: str, y: str, percent: int, bits: bool):
 
 
 def linked(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id of every document."""
+    """uid, doc_id, n_shingles, component_id, component of every document; uid: ``common.row_ids`` of ``docs``; component: a
+    number of the group that also tells those apart that have no id."""
     p = profiles(docs, percent, words)
     common.release(docs.sparkSession)
     sig = ["n", "sig1", "sig2"]
@@ -225,10 +226,10 @@ def linked(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     reps = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     reps = common.write_table(reps, "nodes")
     groups = common.write_table(reps.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    named = common.write_table(reps.join(groups, "label").select(*sig, "component_id"), "nodes")
+    named = common.write_table(reps.join(groups, "label").select(*sig, "component_id", F.col("label").alias("component")), "nodes")
     p = p.select("uid", "doc_id", *sig)
-    full = p.filter("n > 0").join(named, sig).select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    empty = p.filter("n = 0").select("uid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = p.filter("n > 0").join(named, sig).select("uid", "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "component")
+    empty = p.filter("n = 0").select("uid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("uid").alias("component"))
     return full.unionByName(empty)
 
 

@@ -29,8 +29,9 @@ RANGE_ROWS, BLOCK_RANGES = 512, 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the hash-random key."""
+    """uid, doc_id, source, size in words, and the hash-random key."""
     return docs.select(
+        common.row_ids().alias("uid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.SPACE)).cast("long").alias("size"),
@@ -54,7 +55,7 @@ def budgets(sized: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1
 
 
 def mix(docs: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1, 2), max_epochs: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """uid (``common.row_ids`` of ``docs``), doc_id, size, source_size, target, taken of every document."""
     sized = common.write_table(sizes(docs), "mix-sizes")
     ranges = -(-sized.count() // RANGE_ROWS)
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.lit(float(max(1, ranges)))).cast("long")
@@ -76,11 +77,11 @@ def mix(docs: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1, 2),
     budget = F.floor(F.col("target") + 0.5)
     first = F.col("to_range") + F.col("in_range")
     taken = sum((F.greatest(none, F.least(F.col("size"), budget - F.col("source_size") * e - first)) for e in range(max_epochs)), none)
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("uid", "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(common.documents(spark, sf_dir))
+    return mix(common.documents(spark, sf_dir)).drop("uid")
 
 
 ORACLE = r"""

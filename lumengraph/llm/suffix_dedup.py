@@ -41,7 +41,7 @@ _PLACE = np.dtype([("uid", "<i8"), ("at", "<i8")])
 _RANGE = np.dtype([("uid", "<i8"), ("first", "<i8"), ("last", "<i8")])
 PARTS = "uid long, doc_id long, n_bytes long, text binary, sha string, key binary, low int, high int, places binary"
 RANGES = "uid long, ranges binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -203,7 +203,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     """A table of PARTS: suffixes (key set), documents that have some (text set), and all others (sha set)."""
     size, parts = blobs.table_size(docs), blobs.partitions(docs)
     bits, homes = blobs.bits_for(2 * size // (REACH // 2), parts), blobs.homes_for(2 * size, parts)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(common.row_ids().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots() -> Iterator[tuple[int, bytes]]:
@@ -349,7 +349,7 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also ``kept``, the text without
+    """uid (``common.row_ids`` of ``docs``), doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also ``kept``, the text without
     the removed bytes (parts of characters stay), null where nothing was removed."""
     parts = _suffixes(docs)
     common.release(docs.sparkSession)
@@ -359,23 +359,23 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 256):
             rows = []
-            for doc_id, text, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for uid, doc_id, text, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 runs = removed(text, np.frombuffer(b"".join(blocks or ()), _RANGE))
                 sha = hashlib.sha256(_kept(text, runs)).hexdigest()
                 kept = _kept(text, _whole_characters(text, runs)) if texts and runs else None
-                rows.append((doc_id, len(text), sum(z - a for a, z in runs), len(runs), sha, kept))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+                rows.append((uid, doc_id, len(text), sum(z - a for a, z in runs), len(runs), sha, kept))
+            kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     some = parts.filter("text IS NOT NULL").select("uid", "doc_id", "text")
     some = some.join(ranges.groupBy("uid").agg(F.collect_list("ranges").alias("ranges")), "uid", "left")
-    some = some.select("doc_id", "text", "ranges").mapInArrow(cut, RESULT)
+    some = some.select("uid", "doc_id", "text", "ranges").mapInArrow(cut, RESULT)
     rest = parts.filter("sha IS NOT NULL").select(
-        "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept")
+        "uid", "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept")
     )
     out = some.unionByName(rest)
     return out if texts else out.drop("kept")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(common.documents(spark, sf_dir))
+    return dedup(common.documents(spark, sf_dir)).drop("uid")
