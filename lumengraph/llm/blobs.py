@@ -3,7 +3,8 @@
 Tasks pack the hashes of their rows into one binary block for each bucket of the hash space and ``BLOCK`` hashes, some
 six bytes a hash; a bucket's blocks meet in one task, which counts equal hashes and sends those that occur more than
 once back to their rows, again in packed blocks. Buckets and homes (groups of rows that get their hashes back together)
-are as many as keep each within a few megabytes, a few for each shuffle partition at least.
+are as many as keep each within a few megabytes, one or two for each shuffle partition at least: each bucket may send each
+home a block.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ _HEAD = struct.Struct("<IqB")
 
 def bits_for(hashes: int, partitions: int) -> int:
     """Bits of the bucket number; 24 at most, as 40 bits lie below them."""
-    return min(24, max(2, 4 * partitions - 1, hashes // BUCKET).bit_length())
+    return min(24, max(2, 2 * partitions - 1, hashes // BUCKET).bit_length())
 
 
 def homes_for(size: int, partitions: int) -> int:
-    return max(4 * partitions, size // HOME, 1)
+    return max(partitions, size // HOME, 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
