@@ -3,7 +3,8 @@
 Texts are cut where no piece of the vocabulary can cross (before a space, or between two characters that no piece has
 side by side), which leaves short units that repeat. The distinct units become a lattice in Spark: their substrings up
 to the longest piece are exploded and equi-joined to the piece table, the edges grouped by unit, and a path is folded
-over them with the higher-order function ``aggregate``. The ids of its units go back to each chunk of texts.
+over them with the higher-order function ``aggregate``. Each chunk of texts gets the ids of its units as a dictionary file in the shared
+folder, which the second pass over the texts reads; no text is shuffled.
 
 The fold depends on the file. A BPE file's scores are merge ranks, not log-probabilities: the path of the greatest sum
 (Viterbi) isn't what the library gives for such a file, so for it the fold takes merges in the order of their
@@ -21,9 +22,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +41,8 @@ LONGEST = 60
 HEAD = 4
 #: Bytes of text that share one dictionary.
 CHUNK = 8 << 20
+#: Words whose units a worker's cache may hold.
+CACHE = 200_000
 #: Pieces that the joined side may have for it to be broadcast.
 BROADCAST = 1_000_000
 ENCODED = "doc_id long, ids array<int>"
@@ -67,17 +74,23 @@ class Model:
         self.plain = {i for i, x in enumerate(spec.pieces) if x.type in (p.NORMAL, p.USER_DEFINED)}
         self.ids = {x: i for x, i, _ in self.normal}
         self.pairs = {x[i : i + 2] for x, _, _ in self.normal for i in range(len(x) - 1)}
+        self.cuts: dict[str, list[str]] = {}
         n.add_dummy_prefix = False
         self.library = SentencePieceProcessor(model_proto=spec.SerializeToString())
 
     def units(self, word: str) -> list[str]:
-        """A word with its marks, cut where no piece can cross."""
-        out, a = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.pairs:
-                out.append(word[a:i])
-                a = i
-        out.append(word[a:])
+        """A word with its spaces as marks, cut where no piece can cross."""
+        out = self.cuts.get(word)
+        if out is None:
+            w = word.replace(" ", MARK)
+            if self.pairs.issuperset(map(add, w, w[1:])):
+                out = [w]
+            else:
+                at = [0, *(i for i in range(1, len(w)) if w[i - 1 : i + 1] not in self.pairs), len(w)]
+                out = [w[a:z] for a, z in pairwise(at)]
+            if len(self.cuts) > CACHE:
+                self.cuts.clear()
+            self.cuts[word] = out
         return out
 
     def ids_of(self, piece: str) -> list[int]:
@@ -192,7 +205,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         m, now, seen = model(path), None, set()
 
         def out() -> Iterator[pa.RecordBatch]:
-            units = list({u for w in seen for u in m.units(w.replace(" ", MARK)) if len(u) <= LONGEST})
+            units = list({u for w in seen for u in m.units(w) if len(u) <= LONGEST})
             for a in range(0, len(units), 50_000):
                 part = units[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "unit"])
@@ -207,36 +220,54 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         if seen:
             yield from out()
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, texts in chunked(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), pa.int64()), ids, texts], names=["chunk", "doc_id", "text"])
-
-    def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        known = dict(zip(right.column("unit").to_pylist(), right.column("pieces").to_pylist(), strict=True))
-
-        def ids(unit: str) -> list[int]:
-            return [i for p in known[unit] for i in m.ids_of(p)] if len(unit) <= LONGEST else m.library.encode(unit.replace(MARK, " "))
-
-        memo: dict[str, bytes] = {}
-        out = []
-        for t in left.column("text").to_pylist():
-            found = words(t)
-            for w in found:
-                if w not in memo:
-                    memo[w] = np.array([i for u in m.units(w.replace(" ", MARK)) for i in ids(u)], "<i4").tobytes()
-            out.append(b"".join(map(memo.__getitem__, found)))
-        ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-        found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.table({"doc_id": left.column("doc_id"), "ids": found})
-
+        for b in batches:
+            ids = [np.fromiter(chain.from_iterable(map(m.ids_of, x)), "<i4").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["unit", "ids"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, now = model(path), None
+        store, root = fs.FileSystem.from_uri(folder)
+        for chunk, doc_ids, texts in chunked(batches):
+            if chunk != now:
+                now, memo = chunk, {}
+                known = _dictionary(store, f"{root}/chunk={chunk}")
+            out = []
+            for t in texts.to_pylist():
+                found = words(t)
+                try:
+                    out.append(b"".join(map(memo.__getitem__, found)))
+                except KeyError:
+                    for w in found:
+                        if w not in memo:
+                            memo[w] = b"".join(known[u] if len(u) <= LONGEST else np.array(m.library.encode(u.replace(MARK, " ")), "<i4").tobytes() for u in m.units(w))
+                    out.append(b"".join(map(memo.__getitem__, found)))
+            ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
+            yield pa.RecordBatch.from_arrays([doc_ids, ids], names=["doc_id", "ids"])
+
+    spark = docs.sparkSession
     pairs = common.write_table(rows.mapInArrow(distinct, "chunk long, unit string"), "units", compression="zstd")
-    with common.setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000"):
-        units = common.write_table(encode_units(pairs.select("unit").distinct(), path), "unit-pieces", compression="zstd")
-    common.release(docs.sparkSession)
-    known = pairs.join(units, "unit").select("chunk", "unit", "pieces")
-    texts = rows.mapInArrow(placed, "chunk long, doc_id long, text string")
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(join, ENCODED)
+    with common.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000"):
+        cut = encode_units(pairs.select("unit").distinct(), path)
+        units = common.write_table(cut.mapInArrow(numbered, "unit string, ids binary"), "unit-ids", compression="zstd")
+    common.release(spark)
+    folder = common.uri(common.scratch(spark, "dictionaries"))
+    known = pairs.join(units, "unit").select("chunk", "unit", "ids").repartition("chunk")
+    known.write.option("compression", "zstd").partitionBy("chunk").parquet(folder)
+    common.release(spark)
+    return rows.mapInArrow(look_up, ENCODED)
+
+
+def _dictionary(store: fs.FileSystem, folder: str) -> dict[str, bytes]:
+    """Ids of the units of one chunk; a chunk of empty texts has no folder."""
+    out: dict[str, bytes] = {}
+    for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if f.base_name.endswith(".parquet"):
+            t = pq.ParquetFile(store.open_input_file(f.path)).read(["unit", "ids"])
+            out.update(zip(t.column("unit").to_pylist(), t.column("ids").to_pylist(), strict=True))
+    return out
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
