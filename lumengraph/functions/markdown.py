@@ -93,11 +93,10 @@ def chunks(text: str, title: str, size: int = 1500, overlap: int = 100, least: i
     return out
 
 
-@F.pandas_udf(CHUNK)
-def _chunk_udf(text: pd.Series, title: pd.Series) -> pd.Series:
+def _chunk_rows(text: pd.Series, title: pd.Series) -> pd.Series:
     return pd.Series([[{"chunk_index": i, "breadcrumb": b, "content": c} for i, b, c in chunks(t or "", n or "")] for t, n in zip(text, title, strict=True)])
 
 
 def chunk_column(text: Column, title: Column) -> Column:
     """Chunks of a note, to be exploded."""
-    return _chunk_udf(text, title)
+    return F.pandas_udf(_chunk_rows, CHUNK)(text, title)
