@@ -33,7 +33,6 @@ EPOCHS, RATE, BATCH, RIDGE = 12, 0.15, 128, 1e-6
 LEAST_ROWS, LEAST_CHI2 = 5, 15.0
 #: Terms that a worker's cache may hold.
 CACHE = 500_000
-SCORES = "doc_id long, held_out boolean, score double, predicted int"
 _TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -156,8 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
     return model
 
 
-def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document, as SCORES; ``docs`` may have further columns, which are kept."""
+def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns of ``docs``, which must not have those of ``out``, with score (0 to 1) and whether it reaches the threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")
@@ -167,10 +166,10 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5)
         for b in common.slices(batches, 256):
             s = m.scores([of(t) for t in b.column(at).to_pylist()])
             new = [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, f"{kinds}, {out[0]} double, {out[1]} int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
