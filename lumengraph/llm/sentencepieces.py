@@ -40,7 +40,9 @@ LONGEST = 60
 #: Characters by which the pieces that may start at a place are looked up first.
 HEAD = 4
 #: Bytes of text that share one dictionary.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
+#: Units that all chunks share in one dictionary: those in most chunks, at most so many.
+COMMON = 200_000
 #: Words whose units a worker's cache may hold.
 CACHE = 200_000
 #: Pieces that the joined side may have for it to be broadcast.
@@ -79,10 +81,10 @@ class Model:
         self.library = SentencePieceProcessor(model_proto=spec.SerializeToString())
 
     def units(self, word: str) -> list[str]:
-        """A word with its spaces as marks, cut where no piece can cross."""
+        """A word of ``words`` with its spaces as marks, cut where no piece can cross."""
         out = self.cuts.get(word)
         if out is None:
-            w = word.replace(" ", MARK)
+            w = MARK + word.replace(" ", MARK)
             if self.pairs.issuperset(map(add, w, w[1:])):
                 out = [w]
             else:
@@ -120,12 +122,16 @@ def model(path: str) -> Model:
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of spaces with the word after them, a space before the whole."""
-    return _WORDS.findall(" " + text) if text else []
+    """Runs of spaces with the word after them, a space before the whole; without the first space of each."""
+    if not text:
+        return []
+    if "  " not in text and text[0] != " " and text[-1] != " ":
+        return text.split(" ")
+    return [w[1:] for w in _WORDS.findall(" " + text)]
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
-    """(unit, pieces) of distinct units of up to ``LONGEST`` characters; a piece that the vocabulary lacks is one character."""
+    """(unit, uses, pieces) of distinct units (unit, uses) of up to ``LONGEST`` characters; a piece that the vocabulary lacks is one character."""
     m, spark = model(path), units.sparkSession
     least = 2 if m.kind == 2 else 1  # merges make pieces of two characters and more
     ranks = {c: i for i, c in enumerate(sorted({-s for _, _, s in m.normal}))}
@@ -151,10 +157,10 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
         edge = F.struct("cost", "start", end.alias("end"))
     lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     empty = F.array().cast(lattice.schema["edges"].dataType)
-    lattice = units.join(lattice, "unit", "left").select("unit", F.coalesce("edges", empty).alias("edges"))
-    lattice = lattice.select("unit", (_merged(n) if m.kind == 2 else _viterbi(n)).alias("cuts"))
+    lattice = units.join(lattice, "unit", "left").select("unit", "uses", F.coalesce("edges", empty).alias("edges"))
+    lattice = lattice.select("unit", "uses", (_merged(n) if m.kind == 2 else _viterbi(n)).alias("cuts"))
     pieces = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, i: F.substring("unit", a + 1, F.get("cuts", i + 1) - a))
-    return lattice.select("unit", pieces.alias("pieces"))
+    return lattice.select("unit", "uses", pieces.alias("pieces"))
 
 
 def _left(value: int, by: Column) -> Column:
@@ -223,8 +229,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
-            ids = [np.fromiter(chain.from_iterable(map(m.ids_of, x)), "<i4").tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["unit", "ids"])
+            ids = [np.fromiter(chain.from_iterable(map(m.ids_of, x)), "<i4").tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["unit", "uses", "ids"])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, now = model(path), None
@@ -232,7 +238,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for chunk, doc_ids, texts in chunked(batches):
             if chunk != now:
                 now, memo = chunk, {}
-                known = _dictionary(store, f"{root}/chunk={chunk}")
+                known, often = _dictionary(store, f"{root}/chunk={chunk}"), _common(folder)
             out = []
             for t in texts.to_pylist():
                 found = words(t)
@@ -241,7 +247,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 except KeyError:
                     for w in found:
                         if w not in memo:
-                            memo[w] = b"".join(known[u] if len(u) <= LONGEST else np.array(m.library.encode(u.replace(MARK, " ")), "<i4").tobytes() for u in m.units(w))
+                            memo[w] = b"".join((often.get(u) or known[u]) if len(u) <= LONGEST else np.array(m.library.encode(u.replace(MARK, " ")), "<i4").tobytes() for u in m.units(w))
                     out.append(b"".join(map(memo.__getitem__, found)))
             ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
@@ -250,16 +256,36 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     pairs = common.write_table(rows.mapInArrow(distinct, "chunk long, unit string"), "units", compression="zstd")
     with common.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000"):
-        cut = encode_units(pairs.select("unit").distinct(), path)
-        units = common.write_table(cut.mapInArrow(numbered, "unit string, ids binary"), "unit-ids", compression="zstd")
+        uses = pairs.groupBy("unit").agg(F.count("*").alias("uses"))
+        cut = encode_units(uses, path)
+        units = common.write_table(cut.mapInArrow(numbered, "unit string, uses long, ids binary"), "unit-ids", compression="zstd")
     common.release(spark)
+    level = F.floor(F.log2("uses") * 8).alias("level")
+    often, total = None, 0
+    for r in units.groupBy(level).agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect():  # a few hundred at most
+        total += r.c
+        if total > COMMON:
+            break
+        often = r.level
     folder = common.uri(common.scratch(spark, "dictionaries"))
-    known = pairs.join(units, "unit").select("chunk", "unit", "ids").repartition("chunk")
-    known.write.option("compression", "zstd").partitionBy("chunk").parquet(folder)
+    rare = units if often is None else units.filter(level < often)
+    left = pairs
+    if often is not None:
+        shared = units.filter(level >= often).select("unit", "ids")
+        shared.coalesce(1).write.option("compression", "zstd").parquet(f"{folder}/chunk=common")
+        left = pairs.join(F.broadcast(shared.select("unit")), "unit", "left_anti")  # COMMON rows at most
+    known = left.join(rare, "unit").select("chunk", "unit", "ids").repartition("chunk")
+    known.write.mode("append").option("compression", "zstd").partitionBy("chunk").parquet(folder)
     common.release(spark)
     return rows.mapInArrow(look_up, ENCODED)
 
 
+@lru_cache(maxsize=1)
+def _common(folder: str) -> dict[str, bytes]:
+    store, root = fs.FileSystem.from_uri(folder)
+    return _dictionary(store, f"{root}/chunk=common")
+
+
 def _dictionary(store: fs.FileSystem, folder: str) -> dict[str, bytes]:
     """Ids of the units of one chunk; a chunk of empty texts has no folder."""
     out: dict[str, bytes] = {}
