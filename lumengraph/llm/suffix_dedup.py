@@ -8,8 +8,8 @@ anchor elsewhere too (counted exactly in ``blobs``) can have a repeated window;
 Sampled splitters range-partition the suffixes by their leading bytes (equal ones of one group of documents travel as
 one row with all places); each bucket sorts its suffixes by multikey quicksort over words of eight bytes. What a suffix
 shares with its neighbours, to the right and to the left, decides its windows. In clusters of three or more suffixes
-with undecided windows, the windows are compared by 64-bit hashes; those of a bucket's first and last cluster, which
-may go on in the next bucket, by hashes across all buckets. A key that repeats in very many documents so never meets in one task.
+with undecided windows, the windows are compared by 64-bit hashes; those of suffixes that start like a bucket's first or
+last one, and so may lie in other buckets too, by hashes across all buckets. A key that repeats in very many documents so never meets in one task.
 
 Null and empty texts, and texts under 400 bytes, keep all bytes; repeated rows repeat each other and go whole if they
 have 400 bytes; null ids are carried; further columns are ignored; an empty table gives an empty result.
@@ -33,6 +33,8 @@ from lumengraph.llm import blobs, common
 LENGTH, REACH, GRAM = 400, 128, 16
 SURE = LENGTH - REACH + 1
 KEY = LENGTH + REACH
+#: Leading bytes by which suffixes are dealt into ranges; those that have them in common are split by a hash of the key.
+LEAD = 24
 #: Bytes of suffix keys in a bucket, about.
 BUCKET_BYTES = 12 << 20
 #: Bytes of texts whose anchors are found together.
@@ -154,13 +156,16 @@ class Bucket:
         return [xxhash.xxh3_64_intdigest(text[high - o : high - o + LENGTH]) for o in range(int(self.low[i]), high + 1)]
 
     def resolve(self) -> Iterator[tuple[int, np.ndarray, list[int] | None]]:
-        """(row, decided, hashes): hashes of windows for other buckets to compare, of the first and last cluster."""
+        """(row, decided, hashes): hashes of windows for other buckets to compare, of clusters with the leading bytes of the first or
+        last suffix, which other buckets may have too."""
         n = len(self.low)
+        lead = self.raw[:, :LEAD]
+        shared = (lead == lead[:1]).all(1) | (lead == lead[-1:]).all(1)
         starts = np.flatnonzero(np.append(True, np.diff(self.cluster) > 0)) if n else []
         ends = np.append(starts[1:], n) if n else []
         for a, z in zip(starts, ends, strict=True):
             done = {i: self.decided(i) for i in range(a, z)}
-            outer = a == 0 or z == n
+            outer = bool(shared[a])
             if not outer and (z - a < 3 or all(d.all() for d in done.values())):
                 yield from ((i, d, None) for i, d in done.items())
                 continue
@@ -316,7 +321,8 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
         yield from _by_uid(done)
 
     rows = suffixes.filter("key IS NOT NULL").select("key", "low", "high", "places")
-    packed = rows.repartitionByRange(n, "key").mapInArrow(sort, blobs.SCHEMA)
+    dealt = rows.repartitionByRange(n, F.substring("key", 1, LEAD), F.xxhash64("key"))
+    packed = dealt.mapInArrow(sort, blobs.SCHEMA)
     return blobs.repeated(packed, bits, homes).groupBy("slot").applyInArrow(gather, RANGES)
 
 
