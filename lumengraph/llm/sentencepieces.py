@@ -43,8 +43,8 @@ HEAD = 4
 CHUNK = 16 << 20
 #: Units that all chunks share in one dictionary: those in most chunks, at most so many.
 COMMON = 200_000
-#: Words whose units a worker's cache may hold.
-CACHE = 200_000
+#: Words whose units, and words whose ids, a worker's caches may hold.
+CACHE, MEMO = 30_000, 100_000
 #: Pieces that the joined side may have for it to be broadcast.
 BROADCAST = 1_000_000
 ENCODED = "doc_id long, ids array<int>"
@@ -242,6 +242,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             out = []
             for t in texts.to_pylist():
                 found = words(t)
+                if len(memo) > MEMO:
+                    memo.clear()
                 try:
                     out.append(b"".join(map(memo.__getitem__, found)))
                 except KeyError:
