@@ -1,4 +1,4 @@
-"""Connected components by least labels with pointer jumping, over tables in the shared folder."""
+"""Connected components by least labels, hooking of roots and pointer jumping, over tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from lumengraph.llm import common
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b); label: the component's least node.
 
-    Each round gives a node the least label among its own and its neighbours', then its label's label, until nothing
-    changes. Only sums and joins that Spark can split at a hot key; every round ends in a table."""
+    Each round gives a node, and its label too, the least label's label among its own and its neighbours', until nothing
+    changes. A label that has a lesser one beside it takes that one, so that whole areas join in a round and the rounds grow
+    as the logarithm of a chain's length. When nothing changes, labels are their own labels and no neighbour has another.
+    Only sums and joins that Spark can split at a hot key; every round ends in a table."""
     both = common.write_table(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
     labels = common.write_table(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
-    for _ in range(limit):
-        sent = both.join(labels, both.v == labels.node).select(F.col("u").alias("node"), "label")
-        near = common.write_table(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        up = near.select(F.col("node").alias("of"), F.col("label").alias("next"))
-        new = near.join(up, near.label == up.of).select("node", "next")
-        new = common.write_table(new.select("node", F.col("next").alias("label")), "labels")
-        was = labels.select(F.col("node").alias("of"), F.col("label").alias("old"))
-        if new.join(was, (new.node == was.of) & (new.label != was.old)).isEmpty():
-            return new
-        labels = new
-    raise RuntimeError("components didn't settle")
+    while True:
+        up = labels.select(F.col("node").alias("of"), F.col("label").alias("next"))
+        far = common.write_table(labels.join(up, labels.label == up.of).select("node", "label", "next"), "labels")
+        sent = both.join(far, both.v == far.node).select("u", "next").groupBy("u").agg(F.min("next").alias("sent"))
+        near = common.write_table(far.join(sent, far.node == sent.u).select("node", "label", F.least("next", "sent").alias("least")), "labels")
+        own = near.select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
+        root = near.select(F.col("label").alias("node"), F.col("least").alias("label"), F.lit(None).cast("long").alias("was"))
+        new = common.write_table(own.union(root).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")), "labels")
+        labels = new.select("node", "label")
+        if new.filter("label <> was").isEmpty():
+            return labels

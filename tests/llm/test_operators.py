@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, on documents with nulls, copies, ties and long texts."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -161,6 +162,16 @@ def test_op4_components(spark, folder, rows):
     assert Counter(map(tuple, registry.QUERIES["op4_jaccard_join"](spark, folder).collect())) == want
 
 
+def test_op4_components_of_shuffled_chains(spark):
+    from lumengraph.llm.components import components
+
+    p = random.Random(11).sample(range(10_000), 4000)
+    one, two = p[:3000], p[3000:]  # links to the next; links to the five next
+    edges = list(zip(one, one[1:])) + [(a, b) for k in range(1, 6) for a, b in zip(two, two[k:])]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: min(c) for c in (one, two) for x in c}
+
+
 def test_op5_counts(spark, folder, rows):
     from tokenizers import Tokenizer
 
