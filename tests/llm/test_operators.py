@@ -131,6 +131,23 @@ def test_op3_known_texts(spark):
     assert [got[i].license for i in range(5)] == ["MIT", "MIT", None, None, None] and got[3].notices == "MIT (notice)"
 
 
+def test_op3_more_licences_and_notices(spark):
+    from lumengraph.llm import licenses
+
+    def whole(name):
+        return (licenses.Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text("utf-8")
+
+    mit, names = licenses.KNOWN["MIT"], ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"]
+    heads = ["Copyright (c) Jane Doe", "(c) Copyright 2020 X", "Copyright (c) <year> <copyright holders>", "Copyright The Jane Authors", "© Copyright Jane Doe"]
+    lines = ["SPDX-License-Identifier: BSD-3-Clause", "Licensed under CC BY-SA 4.0.", "This program is licensed under the GNU General Public License, version 2", "Licensed under the Mozilla Public License, Version 2.0."]
+    wrapped = mit.replace("above copyright notice and", "above\ncopyright notice and").replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS")
+    own = [whole(n) for n in names] + [f"{h}\n\n{mit}" for h in heads] + [wrapped] + [f"some text\n{x}\nmore" for x in lines]
+    own = [(i, t) for i, t in enumerate(own)]
+    got = [(r.license, r.notices) for r in licenses.scan(spark.createDataFrame(own, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [x[0] for x in got] == names + ["MIT"] * 6 + [None] * 4
+    assert [x[1] for x in got[-4:]] == [f"{x} (notice)" for x in ("BSD-3-Clause", "CC-BY-SA-4.0", "GPL-2.0", "MPL-2.0")]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
