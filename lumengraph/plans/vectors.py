@@ -150,6 +150,13 @@ def link_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.distances(views.links(spark, sf_dir), sources, 4)
 
 
+@query("link_distance_all")
+def link_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``link_distance``, from every note; it has no SQL."""
+    sources = views.chunks(spark, sf_dir).select(F.col("note_id").alias("node"))
+    return graph.distances(views.links(spark, sf_dir), sources, 4)
+
+
 @query("backlinks", f"WITH links AS ({views.LINKS_SQL}) SELECT dst AS note_id, string_agg(DISTINCT CAST(src AS VARCHAR), ',' ORDER BY CAST(src AS VARCHAR)) AS sources FROM links GROUP BY dst")
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = graph.backlinks(views.links(spark, sf_dir).selectExpr("cast(src as string) as src", "dst"))
