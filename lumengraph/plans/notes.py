@@ -77,6 +77,12 @@ def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.postings(views.notes(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("uses")).filter("docs >= 20")
 
 
+@query("fts_postings_all")
+def fts_postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``fts_postings``, of every term; it has no SQL."""
+    return fulltext.postings(views.notes(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("uses"))
+
+
 @query(
     "hybrid_fusion",
     f"""

@@ -1,6 +1,7 @@
 """Queries without SQL, against brute force."""
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 from lumengraph.plans import all_queries
 from lumengraph.sources import views
@@ -26,3 +27,13 @@ def test_link_distance_all(spark):
         want |= {(src, n, d) for n, d in seen.items()}
     got = rows(spark, "link_distance_all")
     assert len(got) == len(want) and set(got) == want and max(x[0] for x in got) >= 40
+
+
+def test_fts_postings_all(spark):
+    docs, uses = Counter(), Counter()
+    for r in views.notes(spark, SMALL).select("full_text").collect():
+        c = Counter(re.findall(r"[^\W_]+", r.full_text.lower()))
+        uses.update(c)
+        docs.update(c.keys())
+    got = rows(spark, "fts_postings_all")
+    assert len(got) == len({x[0] for x in got}) and {x[0]: x[1:] for x in got} == {t: (docs[t], uses[t]) for t in docs}
