@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 from lumengraph.plans import all_queries
+from lumengraph.plans.notes import resolved
 from lumengraph.sources import views
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,3 +38,11 @@ def test_fts_postings_all(spark):
         docs.update(c.keys())
     got = rows(spark, "fts_postings_all")
     assert len(got) == len({x[0] for x in got}) and {x[0]: x[1:] for x in got} == {t: (docs[t], uses[t]) for t in docs}
+
+
+def test_link_resolve_all(spark):
+    got = dict(rows(spark, "link_resolve_all"))
+    files = {r.source_file for r in views.notes(spark, SMALL).select("source_file").collect()}
+    assert got == {f.rsplit("/", 1)[1].removesuffix(".md"): f for f in files}
+    own = [("b/10.md",), ("a/10.md",), ("a/b/10.md",), ("x/101.md",)]
+    assert dict(map(tuple, resolved(spark.createDataFrame(own, "source_file string")).collect())) == {"10": "a/10.md", "101": "x/101.md"}
