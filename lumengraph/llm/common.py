@@ -8,7 +8,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +33,40 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def row_ids() -> Column:
-    """A number for each row of a stored table's scan: the same whenever it is scanned under the same settings, whichever
-    columns are read; successive within a task."""
-    return F.monotonically_increasing_id()
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a scan of files, whose rows have a place in them; else a written copy."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema
+    except AnalysisException:
+        return write_table(docs, "rows")
+    return docs
+
+
+def row_ids(docs: DataFrame) -> Column:
+    """A number for each row of ``stored`` files: its file's hash and its place in the file. It is the same in every scan,
+    however Spark cuts the files, and successive within a file. The driver holds a hash of each file's name, to make sure that no
+    two files' numbers meet."""
+    names = sorted({re.sub("^file:/+", "file:/", f) for f in docs.inputFiles()})
+    gap, salt = max((_gap(names, salt), -salt) for salt in range(4))
+    meta = docs.metadataColumn("_metadata")
+    name = F.concat(F.regexp_replace(meta["file_path"], "^file:/+", "file:/"), F.lit(f"#{-salt}"))
+    at = meta["row_index"]
+    return F.shiftright(F.xxhash64(name), 1) + F.when(at < gap, at).otherwise(F.raise_error(F.lit("a file has too many rows to number")))
+
+
+def _gap(names: list[str], salt: int) -> int:
+    """The least distance between two files' first numbers."""
+    at = np.array([xxhash.xxh64_intdigest(f"{n}#{salt}".encode(), seed=42) for n in names], np.uint64).view(np.int64)
+    return int(min([1 << 61, *np.diff(np.sort(at >> 1)).tolist()]))
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; unset (tests), a temporary folder."""
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; unset, which only a local session may leave it
+    (tests), a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lumengraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -81,7 +81,7 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
     how many it has alone; prefix: the shared ones within its prefix; bits: ``_parities`` of the shared ones."""
     size, parts = blobs.table_size(docs), blobs.partitions(docs)
     bits, homes = blobs.bits_for(size // 3, parts), blobs.homes_for(2 * size, parts)
-    rows = docs.select(common.row_ids().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(common.row_ids(docs).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots() -> Iterator[tuple[int, bytes]]:
@@ -194,7 +194,7 @@ def _may_hold(x: str, y: str, percent: int, bits: bool):
 def linked(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, component of every document; uid: ``common.row_ids`` of ``docs``; component: a
     number of the group that also tells those apart that have no id."""
-    p = profiles(docs, percent, words)
+    p = profiles(common.stored(docs), percent, words)
     common.release(docs.sparkSession)
     sig = ["n", "sig1", "sig2"]
     reps = common.write_table(p.filter("n > 0").groupBy(*sig).agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nodes")

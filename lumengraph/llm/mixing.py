@@ -31,7 +31,7 @@ RANGE_ROWS, BLOCK_RANGES = 512, 1024
 def sizes(docs: DataFrame) -> DataFrame:
     """uid, doc_id, source, size in words, and the hash-random key."""
     return docs.select(
-        common.row_ids().alias("uid"),
+        common.row_ids(docs).alias("uid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.SPACE)).cast("long").alias("size"),
@@ -56,7 +56,7 @@ def budgets(sized: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1
 
 def mix(docs: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1, 2), max_epochs: int = 2) -> DataFrame:
     """uid (``common.row_ids`` of ``docs``), doc_id, size, source_size, target, taken of every document."""
-    sized = common.write_table(sizes(docs), "mix-sizes")
+    sized = common.write_table(sizes(common.stored(docs)), "mix-sizes")
     ranges = -(-sized.count() // RANGE_ROWS)
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.lit(float(max(1, ranges)))).cast("long")
     dealt = sized.withColumn("range", at)

@@ -1,10 +1,14 @@
 """Operator 2, SentencePiece encoding and decoding by a relational lattice.
 
-Texts are cut where no piece of the vocabulary can cross (before a space, or between two characters that no piece has
-side by side), which leaves short units that repeat. The distinct units become a lattice in Spark: their substrings up
+Texts are cut where no piece of the vocabulary can cross (between two characters that no piece has side by side, as
+before spaces), which leaves short units that repeat. The distinct units become a lattice in Spark: their substrings up
 to the longest piece are exploded and equi-joined to the piece table, the edges grouped by unit, and a path is folded
-over them with the higher-order function ``aggregate``. Each chunk of texts gets the ids of its units as a dictionary file in the shared
-folder, which the second pass over the texts reads; no text is shuffled.
+over them with the higher-order function ``aggregate``. Successive rows of a file are a chunk; each chunk gets the ids of
+its units as a dictionary in the shared folder, which the second pass over the texts reads; no text is shuffled.
+
+Both passes hold texts as arrays of code points, units as their starts, and find units by a 64-bit hash; what is found is
+compared by code points, so that a meeting of hashes can't give wrong ids. Memory is bounded by blocks of ``BLOCK``
+characters and the dictionary of one chunk.
 
 The fold depends on the file. A BPE file's scores are merge ranks, not log-probabilities: the path of the greatest sum
 (Viterbi) isn't what the library gives for such a file, so for it the fold takes merges in the order of their
@@ -18,37 +22,38 @@ empty table gives an empty result. Decoding gives back every text but those that
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
-from operator import add
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm import common
+from lumengraph.llm import blobs, common
 
 MARK = "▁"
 LONGEST = 60
 #: Characters by which the pieces that may start at a place are looked up first.
 HEAD = 4
-#: Bytes of text that share one dictionary.
+#: Bytes of text that share one dictionary, about.
 CHUNK = 16 << 20
+#: Characters of texts that are held as arrays together; longer texts are cut at spaces.
+BLOCK = 1 << 20
 #: Units that all chunks share in one dictionary: those in most chunks, at most so many.
 COMMON = 200_000
-#: Words whose units, and words whose ids, a worker's caches may hold.
-CACHE, MEMO = 30_000, 100_000
+#: Bytes of a file of dictionaries, about; of a row group in it.
+FILE, GROUP = 64 << 20, 2 << 20
 #: Pieces that the joined side may have for it to be broadcast.
 BROADCAST = 1_000_000
+#: Different characters in pieces for which a table of all pairs is held.
+ALPHABET = 8192
 ENCODED = "doc_id long, ids array<int>"
-_WORDS = re.compile(" *[^ ]+| +")
 
 
 class Model:
@@ -67,53 +72,131 @@ class Model:
         self.kind = spec.trainer_spec.model_type  # 1: unigram, 2: BPE
         if self.kind not in (1, 2):
             raise ValueError("unigram and BPE files only")
+        if not spec.trainer_spec.byte_fallback:
+            raise ValueError("only files with pieces for bytes are supported")
         p = spec.SentencePiece
-        self.texts = [x.piece for x in spec.pieces]
         self.normal = [(x.piece, i, float(x.score)) for i, x in enumerate(spec.pieces) if x.type in (p.NORMAL, p.USER_DEFINED)]
-        self.bytes = {i: int(x.piece[3:5], 16) for i, x in enumerate(spec.pieces) if x.type == p.BYTE}
-        self.byte_ids = {b: i for i, b in self.bytes.items()}
-        self.unknown = next(i for i, x in enumerate(spec.pieces) if x.type == p.UNKNOWN)
-        self.plain = {i for i, x in enumerate(spec.pieces) if x.type in (p.NORMAL, p.USER_DEFINED)}
+        self.byte_ids = {int(x.piece[3:5], 16): i for i, x in enumerate(spec.pieces) if x.type == p.BYTE}
         self.ids = {x: i for x, i, _ in self.normal}
-        self.pairs = {x[i : i + 2] for x, _, _ in self.normal for i in range(len(x) - 1)}
-        self.cuts: dict[str, list[str]] = {}
+        # what each id stands for; control and unknown pieces for nothing
+        own = [b""] * len(spec.pieces)
+        for x, i, _ in self.normal:
+            own[i] = x.replace(MARK, " ").encode()
+        for b, i in self.byte_ids.items():
+            own[i] = bytes([b])
+        self.own = np.frombuffer(b"".join(own), np.uint8)
+        self.own_size = np.array([len(x) for x in own], np.int64)
+        self.own_start = np.cumsum(self.own_size) - self.own_size
+        # characters of pieces have numbers from 1; beside: which may stand side by side in a piece
+        pairs = {x[i : i + 2] for x, _, _ in self.normal for i in range(len(x) - 1)}
+        self.number = np.zeros(0x110000, np.uint16)
+        letters = sorted({ord(c) for x in pairs for c in x})
+        if len(letters) >= ALPHABET:
+            raise ValueError(f"pieces of more than {ALPHABET} different characters")
+        self.number[letters] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        self.beside = np.zeros(self.width * self.width, bool)
+        self.beside[[int(self.number[ord(x[0])]) * self.width + int(self.number[ord(x[1])]) for x in pairs]] = True
+        self.before_mark = {x[0] for x in pairs if x[1] == MARK}
+        self.spread = blobs.mixed(np.arange(1, 0x110001, dtype=np.uint64))
+        self.odd = np.multiply.accumulate(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
         n.add_dummy_prefix = False
         self.library = SentencePieceProcessor(model_proto=spec.SerializeToString())
 
-    def units(self, word: str) -> list[str]:
-        """A word of ``words`` with its spaces as marks, cut where no piece can cross."""
-        out = self.cuts.get(word)
-        if out is None:
-            w = MARK + word.replace(" ", MARK)
-            if self.pairs.issuperset(map(add, w, w[1:])):
-                out = [w]
-            else:
-                at = [0, *(i for i in range(1, len(w)) if w[i - 1 : i + 1] not in self.pairs), len(w)]
-                out = [w[a:z] for a, z in pairwise(at)]
-            if len(self.cuts) > CACHE:
-                self.cuts.clear()
-            self.cuts[word] = out
-        return out
+    def parts(self, texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+        """Texts with marks in parts of some ``BLOCK`` characters, and the text of each; a longer text is cut before a mark."""
+        held: list[str] = []
+        of: list[int] = []
+        size = 0
+        for i, t in enumerate(texts):
+            rest = MARK + t.replace(" ", MARK) if t else ""
+            while rest:
+                cut = len(rest)
+                if cut > BLOCK:
+                    cut = self._cut(rest)
+                held.append(rest[:cut])
+                of.append(i)
+                size += cut
+                rest = rest[cut:]
+                if size >= BLOCK:
+                    yield held, of
+                    held, of, size = [], [], 0
+        if held:
+            yield held, of
+
+    def _cut(self, text: str) -> int:
+        """A place near ``BLOCK`` where a unit ends for sure, else the text's end."""
+        at = text.rfind(MARK, 1, BLOCK)
+        while at > 0 and (text[at - 1] == MARK or text[at - 1] in self.before_mark):
+            at = text.rfind(MARK, 1, at)
+        return at if at > 0 else len(text)
+
+    def cut(self, parts: list[str]) -> Units:
+        """Units of successive parts."""
+        chars = code_points("".join(parts))
+        k = self.number[chars].astype(np.int64)
+        ends = np.cumsum([len(x) for x in parts])
+        first = np.ones(len(chars), bool)
+        first[1:] = ~self.beside[k[:-1] * self.width + k[1:]]
+        first[ends[:-1]] = True
+        start = np.flatnonzero(first)
+        return self.hashed(chars, start, np.searchsorted(start, ends))
+
+    def hashed(self, chars: np.ndarray, start: np.ndarray, ends: np.ndarray) -> Units:
+        size = np.diff(np.append(start, len(chars)))
+        most = int(size.max()) if len(size) else 0
+        while len(self.odd) < most:
+            self.odd = np.multiply.accumulate(np.full(2 * len(self.odd), 0x9E3779B97F4A7C15, np.uint64))
+        at = np.arange(len(chars)) - np.repeat(start, size)
+        h = np.add.reduceat(self.spread[chars] * self.odd[at], start) if len(start) else np.empty(0, np.uint64)
+        return Units(chars, start, size, blobs.mixed(h), ends)
 
     def ids_of(self, piece: str) -> list[int]:
         """A piece's id, or those of its bytes."""
         if piece in self.ids:
             return [self.ids[piece]]
-        return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+        return [self.byte_ids[b] for b in piece.encode()]
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """UTF-8 of the texts whose ids end at ``ends``."""
+        size = self.own_size[ids]
+        flat = self.own[ragged(self.own_start[ids], size)].tobytes()
+        upto = np.append(0, np.cumsum(size))[np.append(0, ends)].tolist()
+        return [flat[a + 1 : z] for a, z in zip(upto, upto[1:])]
+
+
+class Units:
+    """Units of some texts: all code points, where each starts, its size and hash; at ``ends`` those of a text end."""
+
+    def __init__(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray, hash_: np.ndarray, ends: np.ndarray):
+        self.chars, self.start, self.size, self.hash, self.ends = chars, start, size, hash_, ends
+
+    def differ(self, own: np.ndarray, other: Units, theirs: np.ndarray) -> np.ndarray:
+        """Which of the units ``own`` aren't the units ``theirs`` of the other."""
+        out = self.size[own] != other.size[theirs]
+        same = np.flatnonzero(~out)
+        size = self.size[own[same]]
+        wrong = self.chars[ragged(self.start[own[same]], size)] != other.chars[ragged(other.start[theirs[same]], size)]
+        if wrong.any():
+            out[same[np.unique(np.repeat(np.arange(len(same)), size)[wrong])]] = True
+        return out
 
-    def decode(self, ids: list[int]) -> str:
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.bytes:
-                run.append(self.bytes[i])
-                continue
-            if run:
-                out.append(run.decode(errors="replace"))
-                run = bytearray()
-            if i in self.plain:
-                out.append(self.texts[i].replace(MARK, " "))
-        out.append(run.decode(errors="replace"))
-        return "".join(out)[1:]
+    def strings(self, own: np.ndarray) -> pa.StringArray:
+        size = self.size[own]
+        chars = self.chars[ragged(self.start[own], size)]
+        wide = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+        ends = np.append(0, np.cumsum(wide))[np.append(0, np.cumsum(size))].astype(np.int32)
+        return pa.StringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(chars.tobytes().decode("utf-32-le").encode()))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers from each start, so many."""
+    upto = np.cumsum(size)
+    return np.repeat(start - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -121,13 +204,30 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of spaces with the word after them, a space before the whole; without the first space of each."""
-    if not text:
-        return []
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return [w[1:] for w in _WORDS.findall(" " + text)]
+class Dictionary:
+    """Ids of distinct units, by hash."""
+
+    def __init__(self, m: Model, tables: list[pa.Table]):
+        t = pa.concat_tables(tables) if tables else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
+        units, ids = (t.column(c).combine_chunks() for c in ("unit", "ids"))
+        size = pc.utf8_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.units = m.hashed(code_points("".join(units.to_pylist())), np.cumsum(size) - size, np.empty(0, np.int64))
+        self.size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<i4")
+        self.order = np.argsort(self.units.hash, kind="stable")
+        self.sorted = self.units.hash[self.order]
+
+    def find(self, units: Units, own: np.ndarray) -> np.ndarray:
+        """Places of the units ``own``, -1 of those that aren't there."""
+        if not len(self.sorted):
+            return np.full(len(own), -1)
+        at = np.searchsorted(self.sorted, units.hash[own])
+        at[at == len(self.sorted)] = 0
+        out = self.order[at]
+        hit = self.sorted[at] == units.hash[own]
+        hit[hit] = ~units.differ(own[hit], self.units, out[hit])
+        return np.where(hit, out, -1)
 
 
 def encode_units(units: DataFrame, path: str) -> DataFrame:
@@ -158,7 +258,7 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     empty = F.array().cast(lattice.schema["edges"].dataType)
     lattice = units.join(lattice, "unit", "left").select("unit", "uses", F.coalesce("edges", empty).alias("edges"))
-    lattice = lattice.select("unit", "uses", (_merged(n) if m.kind == 2 else _viterbi(n)).alias("cuts"))
+    lattice = lattice.select("unit", "uses", (_merged(n) if m.kind == 2 else _viterbi(n, max((-s for _, _, s in m.normal), default=0.0) + 10)).alias("cuts"))
     pieces = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, i: F.substring("unit", a + 1, F.get("cuts", i + 1) - a))
     return lattice.select("unit", "uses", pieces.alias("pieces"))
 
@@ -182,49 +282,132 @@ def _merged(n: Column) -> Column:
     return F.element_at(F.transform(F.array(mask), lambda m: F.filter(bits, lambda i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1)), 1)
 
 
-def _viterbi(n: Column) -> Column:
-    """Boundaries of the path of least cost; a character without a piece costs 10 more than the costliest piece."""
-    state = "array<struct<cost:double,cuts:array<int>>>"
-    worst = F.coalesce(F.array_max(F.transform("edges", lambda e: e["cost"])), F.lit(0.0)) + 10.0
+def _viterbi(n: Column, worst: float) -> Column:
+    """Boundaries of the path of least cost, of equal ones that whose last piece starts first, in the library's single precision;
+    a character without a piece costs ``worst``."""
+    state = "array<struct<cost:float,start:int,cuts:array<int>>>"
 
     def step(best: Column, i: Column) -> Column:
-        into = F.transform(F.filter("edges", lambda e: e["end"] == i), lambda e: F.struct((F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), F.concat(F.get(best, e["start"])["cuts"], F.array(i)).alias("cuts")))
-        alone = F.struct((F.get(best, i - 1)["cost"] + worst).alias("cost"), F.concat(F.get(best, i - 1)["cuts"], F.array(i)).alias("cuts"))
-        return F.concat(best, F.array(F.array_min(F.concat(into, F.array(alone)))))
+        def into(start: Column, cost: Column) -> Column:
+            before = F.get(best, start)
+            return F.struct((before["cost"] + cost.cast("float")).cast("float").alias("cost"), start.cast("int").alias("start"), F.concat(before["cuts"], F.array(i)).alias("cuts"))
 
-    zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0)).alias("cuts"))).cast(state)
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), zero, step), -1)["cuts"]
+        found = F.transform(F.filter("edges", lambda e: e["end"] == i), lambda e: into(e["start"], e["cost"]))
+        return F.concat(best, F.array(F.array_min(F.concat(found, F.array(into(i - 1, F.lit(worst)))))))
 
+    zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("start"), F.array(F.lit(0)).alias("cuts"))).cast(state)
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), zero, step), -1)["cuts"]
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids of every text, as ENCODED."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
-        """Ids and texts of successive parts of a chunk; both passes cut alike, as they read the same rows in the same order."""
-        base, size = TaskContext.get().partitionId() << 24, 0
+def _looked_up(m: Model, units: Units, books: list[Dictionary]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units, and how many of each."""
+    _, first, back = np.unique(units.hash, return_index=True, return_inverse=True)
+    # units that only have another's hash are looked up on their own
+    odd = np.flatnonzero(units.differ(np.arange(len(back)), units, first[back]))
+    if len(odd):
+        back[odd] = len(first) + np.arange(len(odd))
+        first = np.append(first, odd)
+    flat, size, left = [np.empty(0, np.int32)], np.zeros(len(first), np.int64), np.arange(len(first))
+    start, total = np.zeros(len(first), np.int64), 0
+    for book in books:
+        at = book.find(units, first[left])
+        hit = at >= 0
+        start[left[hit]], size[left[hit]] = book.start[at[hit]] + total, book.size[at[hit]]
+        flat.append(book.ids)
+        total += len(book.ids)
+        left = left[~hit]
+    if len(left):
+        for i, u in zip(left.tolist(), units.strings(first[left]).to_pylist(), strict=True):
+            own = np.array(m.library.encode(u.replace(MARK, " ")), np.int32)
+            start[i], size[i] = total, len(own)
+            flat.append(own)
+            total += len(own)
+    n = size[back]
+    return np.concatenate(flat)[ragged(start[back], n)], n
+
+
+class _Encoder:
+    """Both passes over the texts of stored rows (uid, doc_id, text)."""
+
+    def __init__(self, path: str, shift: int, slots: int = 0, folder: str = ""):
+        self.path, self.shift, self.slots, self.folder = path, shift, slots, folder
+
+    def chunked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for b in common.slices(batches, 256):
-            yield base + size // CHUNK, b.column(0), b.column(1)
-            size += b.column(1).nbytes
+            chunk = b.column(0).to_numpy() >> self.shift
+            edge = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, z in zip(edge, edge[1:]):
+                if z > a:
+                    yield int(chunk[a]), b.slice(a, z - a)
+
+    def distinct(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(chunk, unit), each pair once for a task; units above LONGEST aren't needed."""
+        m, now, seen = model(self.path), None, np.empty(0, np.uint64)
+        for chunk, b in self.chunked(batches):
+            if chunk != now:
+                now, seen = chunk, np.empty(0, np.uint64)
+            for part, _ in m.parts(b.column(2).to_pylist()):
+                units = m.cut(part)
+                found, first = np.unique(units.hash, return_index=True)
+                at = np.searchsorted(seen, found)
+                new = np.append(seen, np.uint64(0))[at] != found if len(seen) else np.ones(len(found), bool)
+                new[at == len(seen)] = True
+                seen = np.insert(seen, at[new], found[new])
+                own = first[new]
+                own = own[units.size[own] <= LONGEST]
+                for a in range(0, len(own), 50_000):
+                    words = units.strings(own[a : a + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), words], names=["chunk", "unit"])
+
+    def ids(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """doc_ids, ids of these texts, and where each text's end."""
+        m, now, books = model(self.path), None, []
+        store, root = fs.FileSystem.from_uri(self.folder)
+        for chunk, b in self.chunked(batches):
+            if chunk != now:
+                now, books = chunk, [_common(self.path, self.folder), Dictionary(m, _tables(store, f"{root}/slot={chunk % self.slots}", chunk))]
+            count, flat = np.zeros(b.num_rows, np.int64), [np.empty(0, np.int32)]
+            for part, of in m.parts(b.column(2).to_pylist()):
+                units = m.cut(part)
+                own, n = _looked_up(m, units, books)
+                flat.append(own)
+                upto = np.append(0, np.cumsum(n))
+                np.add.at(count, of, np.diff(upto[np.append(0, units.ends)]))
+            yield b.column(1), np.concatenate(flat), np.cumsum(count)
+
+
+@lru_cache(maxsize=1)
+def _common(path: str, folder: str) -> Dictionary:
+    store, root = fs.FileSystem.from_uri(folder)
+    return Dictionary(model(path), _tables(store, f"{root}/slot=common", None))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, now, seen = model(path), None, set()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            units = list({u for w in seen for u in m.units(w) if len(u) <= LONGEST})
-            for a in range(0, len(units), 50_000):
-                part = units[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.int64()), pa.array(part, pa.string())], names=["chunk", "unit"])
+def _tables(store: fs.FileSystem, folder: str, chunk: int | None) -> list[pa.Table]:
+    """Rows (unit, ids) of one chunk, of the row groups that may have it; a chunk of empty texts may have no file."""
+    out = []
+    for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if not f.base_name.endswith(".parquet"):
+            continue
+        file = pq.ParquetFile(store.open_input_file(f.path))
+        for g in range(file.num_row_groups):
+            if chunk is None:
+                out.append(file.read_row_group(g, ["unit", "ids"]))
+                continue
+            at = file.metadata.row_group(g)
+            s = next(at.column(i).statistics for i in range(at.num_columns) if at.column(i).path_in_schema == "chunk")
+            if s is None or s.min <= chunk <= s.max:
+                t = file.read_row_group(g, ["chunk", "unit", "ids"])
+                out.append(t.filter(pc.equal(t.column("chunk"), chunk)).select(["unit", "ids"]))
+    return out
+
 
-        for chunk, _, texts in chunked(batches):
-            if chunk != now:
-                if seen:
-                    yield from out()
-                now, seen = chunk, set()
-            for t in texts.to_pylist():
-                seen.update(words(t))
-        if seen:
-            yield from out()
+def _prepared(docs: DataFrame, path: str) -> tuple[DataFrame, _Encoder]:
+    """Rows (uid, doc_id, text), and what encodes them: the dictionaries are written here."""
+    docs, spark = common.stored(docs), docs.sparkSession
+    rows = docs.select(common.row_ids(docs).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a file's bytes are about half of its texts'
+    each = 2 * blobs.table_size(docs) // max(1, docs.count())
+    shift = max(7, (CHUNK // max(1, each)).bit_length() - 1)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -232,31 +415,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [np.fromiter(chain.from_iterable(map(m.ids_of, x)), "<i4").tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["unit", "uses", "ids"])
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, now = model(path), None
-        store, root = fs.FileSystem.from_uri(folder)
-        for chunk, doc_ids, texts in chunked(batches):
-            if chunk != now:
-                now, memo = chunk, {}
-                known, often = _dictionary(store, f"{root}/chunk={chunk}"), _common(folder)
-            out = []
-            for t in texts.to_pylist():
-                found = words(t)
-                if len(memo) > MEMO:
-                    memo.clear()
-                try:
-                    out.append(b"".join(map(memo.__getitem__, found)))
-                except KeyError:
-                    for w in found:
-                        if w not in memo:
-                            memo[w] = b"".join((often.get(u) or known[u]) if len(u) <= LONGEST else np.array(m.library.encode(u.replace(MARK, " ")), "<i4").tobytes() for u in m.units(w))
-                    out.append(b"".join(map(memo.__getitem__, found)))
-            ends = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
-            yield pa.RecordBatch.from_arrays([doc_ids, ids], names=["doc_id", "ids"])
-
-    spark = docs.sparkSession
-    pairs = common.write_table(rows.mapInArrow(distinct, "chunk long, unit string"), "units", compression="zstd")
+    pairs = common.write_table(rows.mapInArrow(_Encoder(path, shift).distinct, "chunk long, unit string"), "units", compression="zstd")
     with common.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000"):
         uses = pairs.groupBy("unit").agg(F.count("*").alias("uses"))
         cut = encode_units(uses, path)
@@ -274,28 +433,26 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     left = pairs
     if often is not None:
         shared = units.filter(level >= often).select("unit", "ids")
-        shared.coalesce(1).write.option("compression", "zstd").parquet(f"{folder}/chunk=common")
+        shared.coalesce(1).write.option("compression", "zstd").parquet(f"{folder}/slot=common")
         left = pairs.join(F.broadcast(shared.select("unit")), "unit", "left_anti")  # COMMON rows at most
-    known = left.join(rare, "unit").select("chunk", "unit", "ids").repartition("chunk")
-    known.write.mode("append").option("compression", "zstd").partitionBy("chunk").parquet(folder)
+    slots = max(blobs.partitions(docs), 32 * pairs.count() // FILE, 1)
+    known = left.join(rare, "unit").select(F.pmod("chunk", F.lit(slots)).alias("slot"), "chunk", "unit", "ids")
+    known = known.repartition(slots, "slot").sortWithinPartitions("slot", "chunk")
+    known.write.mode("append").option("compression", "zstd").option("parquet.block.size", GROUP).partitionBy("slot").parquet(folder)
     common.release(spark)
-    return rows.mapInArrow(look_up, ENCODED)
+    return rows, _Encoder(path, shift, slots, folder)
 
 
-@lru_cache(maxsize=1)
-def _common(folder: str) -> dict[str, bytes]:
-    store, root = fs.FileSystem.from_uri(folder)
-    return _dictionary(store, f"{root}/chunk=common")
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids of every text, as ENCODED."""
+    rows, encoder = _prepared(docs, path)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, ids, ends in encoder.ids(batches):
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([doc_ids, lists], names=["doc_id", "ids"])
 
-def _dictionary(store: fs.FileSystem, folder: str) -> dict[str, bytes]:
-    """Ids of the units of one chunk; a chunk of empty texts has no folder."""
-    out: dict[str, bytes] = {}
-    for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-        if f.base_name.endswith(".parquet"):
-            t = pq.ParquetFile(store.open_input_file(f.path)).read(["unit", "ids"])
-            out.update(zip(t.column("unit").to_pylist(), t.column("ids").to_pylist(), strict=True))
-    return out
+    return rows.mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -304,23 +461,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in common.slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            lists = b.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            texts = [x.decode(errors="replace") for x in m.decoded(lists.flatten().to_numpy(zero_copy_only=False), ends)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def summary(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), decoded_crc32 (of the decoded text's UTF-8)."""
+def summary(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), decoded_crc32 (of the decoded text's UTF-8)
+    of every text, in the pass that encodes."""
+    rows, encoder = _prepared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in common.slices(batches, 256):
-            ids = b.column(1).to_pylist()
-            crc = [zlib.crc32(np.array(i, "<i4").tobytes()) for i in ids]
-            back = [zlib.crc32(m.decode(i).encode()) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (map(len, ids), crc, back))], names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32"])
+        for doc_ids, ids, ends in encoder.ids(batches):
+            raw, at = ids.astype("<i4").tobytes(), [0, *ends.tolist()]
+            crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at, at[1:])]
+            back = [zlib.crc32(x) for x in m.decoded(ids, ends)]
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(x, pa.int64()) for x in (np.diff(at), crc, back))], names=["doc_id", "n_tokens", "ids_crc32", "decoded_crc32"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long")
 
 
 def model_path() -> str:
@@ -330,4 +492,4 @@ def model_path() -> str:
 
 
 def op2_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(encode(common.documents(spark, sf_dir), model_path()), model_path())
+    return summary(common.documents(spark, sf_dir), model_path())

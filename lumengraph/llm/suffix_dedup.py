@@ -208,7 +208,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     """A table of PARTS: suffixes (key set), documents that have some (text set), and all others (sha set)."""
     size, parts = blobs.table_size(docs), blobs.partitions(docs)
     bits, homes = blobs.bits_for(2 * size // (REACH // 2), parts), blobs.homes_for(2 * size, parts)
-    rows = docs.select(common.row_ids().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(common.row_ids(docs).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots() -> Iterator[tuple[int, bytes]]:
@@ -357,7 +357,7 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """uid (``common.row_ids`` of ``docs``), doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also ``kept``, the text without
     the removed bytes (parts of characters stay), null where nothing was removed."""
-    parts = _suffixes(docs)
+    parts = _suffixes(common.stored(docs))
     common.release(docs.sparkSession)
     ranges = common.write_table(_repeated_ranges(parts), "ranges", compression="zstd")
     common.release(docs.sparkSession)
