@@ -18,7 +18,7 @@ _LAST = (1 << 63) - 1
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_uid", common.row_ids())
+    return docs.withColumn("_uid", common.row_ids(docs))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
+    docs = common.stored(docs)
     found = jaccard_join.linked(docs)
     first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "uid")).alias("first"))
     kept = common.write_table(first.select(F.col("first.uid").alias("_uid")), "kept")
@@ -37,6 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
+    docs = common.stored(docs)
     found = suffix_dedup.dedup(docs, texts=True).filter("kept IS NOT NULL").select(F.col("uid").alias("_uid"), F.col("kept").cast("string").alias("_kept"))
     found = common.write_table(found, "kept-texts", compression="zstd")
     out = _numbered(docs).join(found, "_uid", "left").withColumn("text", F.coalesce("_kept", "text"))
@@ -45,6 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
+    docs = common.stored(docs)
     taken = mixing.mix(docs).filter("taken > 0").select(F.col("uid").alias("_uid"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
     taken = common.write_table(taken, "taken")
     copies = F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")
