@@ -270,6 +270,92 @@ def test_op7_learns(spark):
     assert ((m.scores(rows[300:]) >= 0.5) == (y[300:] > 0)).mean() > 0.85
 
 
+def test_op7_pairs_without_effect_alone():
+    """Labels that only a pair of terms tells: an insult or a group's mention, but not both."""
+    from lumengraph.llm.toxicity import FactorizationMachine, terms
+
+    rng = np.random.default_rng(0)
+    hit = rng.random((4000, 2)) < 0.5
+    own = [" ".join(["insult"] * a + ["group"] * b + [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.integers(0, 300, 20)]) for a, b in hit.tolist()]
+    y, rows = (hit[:, 0] ^ hit[:, 1]).astype(float), [terms().of(t) for t in own]
+    m = FactorizationMachine()
+    m.fit(rows[:3000], y[:3000])
+    assert ((m.scores(rows[3000:]) >= 0.5) == (y[3000:] > 0)).mean() > 0.95
+
+
+def test_op7_against_loops(monkeypatch):
+    """The machine's features, steps and scores as plain loops have them."""
+    import math
+
+    from lumengraph.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 14, rng.integers(0, 8))) for _ in range(260)]
+    y = np.array([float(({1, 2} <= set(r.tolist())) or 5 in r) for r in rows])
+    m = toxicity.FactorizationMachine()
+    m.fit(rows, y)
+    n, p = len(y), y.sum()
+
+    def chi2(having):
+        k, bad = sum(having), sum(v for h, v in zip(having, y, strict=True) if h)
+        return k, n * (bad * n - k * p) ** 2 / max(k * (n - k) * p * (n - p), 1)
+
+    sets = [set(r.tolist()) for r in rows]
+    alone = {t: chi2([t in s for s in sets]) for t in range(14)}
+    kept = {t for t, (k, c) in alone.items() if k >= 5 and c >= 15}
+    for a in range(14):
+        for b in range(a):
+            k, c = chi2([a in s and b in s for s in sets])
+            if k >= 10 and c >= 60 and c >= 1.5 * max(alone[a][1], alone[b][1]) and min(alone[a][0], alone[b][0]) >= 10:
+                kept |= {a, b}
+    assert m.features.tolist() == sorted(kept)
+
+    start = toxicity.FactorizationMachine()
+    start._keep(m.features)
+    w, v, bias = dict.fromkeys(sorted(kept), 0.0), {t: start.v[i].astype(float).copy() for i, t in enumerate(sorted(kept))}, math.log((p + 0.5) / (n + 1) / (1 - (p + 0.5) / (n + 1)))
+    gw, gv, gb = dict.fromkeys(w, 1e-6), {t: np.full(toxicity.FACTORS, 1e-4) for t in w}, 1e-6
+
+    def margin(s):
+        own = sorted(s & kept)
+        x = 1 / math.sqrt(len(own)) if own else 0
+        return own, x, bias + sum(w[t] * x for t in own) + sum(float(v[a] @ v[b]) * x * x for i, a in enumerate(own) for b in own[:i])
+
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        shuffled = order.permutation(n).tolist()
+        for a in range(0, n, toxicity.BATCH):
+            errors, dw, dv = 0.0, {}, {}
+            for i in shuffled[a : a + toxicity.BATCH]:
+                own, x, z = margin(sets[i])
+                e = 1 / (1 + math.exp(-z)) - y[i]
+                errors += e
+                for t in own:
+                    dw[t] = dw.get(t, 0) + e * x
+                    dv[t] = dv.get(t, 0) + e * x * sum((v[u] * x for u in own if u != t), np.zeros(toxicity.FACTORS))
+            gb += errors**2
+            bias -= toxicity.RATE * errors / math.sqrt(gb)
+            for t in dw:
+                g, h = dw[t] + toxicity.RIDGE * w[t], dv[t] + toxicity.RIDGE * v[t]
+                gw[t] += g * g
+                gv[t] += h * h
+                w[t] -= toxicity.RATE * g / math.sqrt(gw[t])
+                v[t] = v[t] - toxicity.RATE / 3 * h / np.sqrt(gv[t])
+    assert m.margins(rows) == pytest.approx([margin(s)[2] for s in sets], abs=2e-3)
+
+
+def test_op7_held_out_accuracy(spark):
+    from lumengraph.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in registry.QUERIES["op7_toxicity"](spark, sf).collect()}
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").collect()]
+    held = [(got[i].predicted, t) for i, t in labels if got[i].held_out]
+    assert len(held) > 40 and sum(a == b for a, b in held) / len(held) > 0.93
+    docs = spark.createDataFrame([(1, "x", 0.5, 7), (1, "y", None, None)], "doc_id long, text string, score double, predicted int")
+    assert toxicity.score(docs, toxicity.FactorizationMachine()).columns == ["doc_id", "text", "score", "predicted"]
+
+
 def test_op8_sketches(spark, folder, rows):
     def hashed(v, seed):
         return xxhash.xxh64_intdigest((v & (2**64 - 1)).to_bytes(8, "little"), seed=seed)
