@@ -8,8 +8,10 @@ anchor elsewhere too (counted exactly in ``blobs``) can have a repeated window;
 Sampled splitters range-partition the suffixes by their leading bytes (equal ones of one group of documents travel as
 one row with all places); each bucket sorts its suffixes by multikey quicksort over words of eight bytes. What a suffix
 shares with its neighbours, to the right and to the left, decides its windows. In clusters of three or more suffixes
-with undecided windows, the windows are compared by 64-bit hashes; those of suffixes that start like a bucket's first or
-last one, and so may lie in other buckets too, by hashes across all buckets. A key that repeats in very many documents so never meets in one task.
+with undecided windows, the windows are looked up by 64-bit hashes and compared by bytes; those of suffixes that start like
+a bucket's first or last one, and so may lie in other buckets too, are looked up by hashes across all buckets, and what
+is found there counts if a 128-bit cryptographic digest of the window is found twice. A key that repeats in very many
+documents so never meets in one task.
 
 Null and empty texts, and texts under 400 bytes, keep all bytes; repeated rows repeat each other and go whole if they
 have 400 bytes; null ids are carried; further columns are ignored; an empty table gives an empty result.
@@ -43,6 +45,7 @@ _PLACE = np.dtype([("uid", "<i8"), ("at", "<i8")])
 _RANGE = np.dtype([("uid", "<i8"), ("first", "<i8"), ("last", "<i8")])
 PARTS = "uid long, doc_id long, n_bytes long, text binary, sha string, key binary, low int, high int, places binary"
 RANGES = "uid long, ranges binary"
+FOUND = f"{RANGES}, digest binary"
 RESULT = "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -149,11 +152,10 @@ class Bucket:
                 out[a[i] - self.low[i] : z[i] - self.low[i] + 1] = True
         return out
 
-    def window_hashes(self, i: int) -> list[int]:
-        """Of the windows of each offset from low to high."""
+    def text(self, i: int) -> bytes:
+        """What the windows of row i cover; that of the offset high starts first."""
         high = int(self.high[i])
-        text = self.raw[i, LENGTH : LENGTH + high][::-1].tobytes() + self.raw[i, :LENGTH].tobytes()
-        return [xxhash.xxh3_64_intdigest(text[high - o : high - o + LENGTH]) for o in range(int(self.low[i]), high + 1)]
+        return self.raw[i, LENGTH : LENGTH + high][::-1].tobytes() + self.raw[i, : LENGTH - int(self.low[i])].tobytes()
 
     def resolve(self) -> Iterator[tuple[int, np.ndarray, list[int] | None]]:
         """(row, decided, hashes): hashes of windows for other buckets to compare, of clusters with the leading bytes of the first or
@@ -169,18 +171,28 @@ class Bucket:
             if not outer and (z - a < 3 or all(d.all() for d in done.values())):
                 yield from ((i, d, None) for i, d in done.items())
                 continue
-            owner: dict[int, tuple[int, int]] = {}
-            hashes = {i: self.window_hashes(i) for i in done}
-            for i, own in hashes.items():
-                for k, h in enumerate(own):
-                    if h in owner:
-                        j, m = owner[h]
+            owner: dict[int | tuple[int, bytes], tuple[int, int]] = {}
+            asked: dict[int, list[int]] = {}
+            texts = {i: self.text(i) for i in done}
+            for i, text in texts.items():
+                last = len(done[i]) - 1
+                asked[i] = []
+                for k in range(last + 1):
+                    window = text[last - k : last - k + LENGTH]
+                    h = xxhash.xxh3_64_intdigest(window)
+                    j, m = owner.setdefault(h, (i, k))
+                    if (j, m) != (i, k) and _window(texts[j], m, len(done[j])) != window:
+                        j, m = owner.setdefault((h, window), (i, k))
+                    if (j, m) != (i, k):
                         done[j][m] = done[i][k] = True
-                    else:
-                        owner[h] = i, k
-            for i, d in done.items():
-                # each distinct window goes out once
-                yield i, d, [h if owner[h] == (i, k) else 0 for k, h in enumerate(hashes[i])] if outer else None
+                    # each distinct window goes out once
+                    asked[i].append(h if (j, m) == (i, k) else 0)
+            yield from ((i, d, asked[i] if outer else None) for i, d in done.items())
+
+
+def _window(text: bytes, k: int, offsets: int) -> bytes:
+    """The window of the k-th of so many ascending offsets in a bucket's ``text``."""
+    return text[offsets - 1 - k : offsets - 1 - k + LENGTH]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -284,15 +296,13 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
                 low, places = int(bucket.low[i]), bucket.places[i]
                 if flags.any():
                     done.append(_placed(flags, low, places))
-                if hashes is not None:
+                if hashes is not None and any(hashes):
                     uid = base + sent
                     sent += 1
-                    asked = np.array(hashes, np.uint64)
+                    asked = np.array(hashes, "<u8")
                     yield from p.add(uid, asked[asked > 0])
-                    if not flags.all():
-                        h = np.where(flags, 0, asked).astype("<u8")
-                        home = int(blobs.home_of(np.array([uid]), homes)[0])
-                        yield -1 - home, b"\x01" + struct.pack("<qII", uid, low, len(h)) + h.tobytes() + places
+                    home = int(blobs.home_of(np.array([uid]), homes)[0])
+                    yield -1 - home, b"\x01" + struct.pack("<qII", uid, low, len(asked)) + asked.tobytes() + flags.tobytes() + bucket.text(i) + places
             yield from p.flush()
             if done:
                 r = np.concatenate(done)
@@ -307,23 +317,35 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
     kept_bits = np.uint64(16) if bits > 8 else np.uint64(24 - bits)
 
     def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Decided ranges, and for each window that other buckets may have its digest and the ranges that it decides."""
         blocks = [x for b in batches for x in b.column("block").to_pylist()]
         found = [blobs.unpack_found(x[1:]) for x in blocks if x[0]]
         pairs = {(u, h) for f in found for u, h in zip(f[0].tolist(), (f[1] & mask).tolist(), strict=True)}
-        done = [np.frombuffer(x, _RANGE, offset=2) for x in blocks if x[0] == 0 and x[1] == 0]
+        for b in _by_uid([np.frombuffer(x, _RANGE, offset=2) for x in blocks if x[0] == 0 and x[1] == 0]):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], names=["uid", "ranges", "digest"])
+        digests, ranges = [], []
         for x in blocks:
             if x[0] == 0 and x[1] == 1:
                 uid, low, n = struct.unpack_from("<qII", x, 2)
-                h = np.frombuffer(x, "<u8", n, 18)
-                flags = np.array([w > 0 and (uid, w >> int(kept_bits)) in pairs for w in h.tolist()])
-                if flags.any():
-                    done.append(_placed(flags, low, x[18 + 8 * n :]))
-        yield from _by_uid(done)
+                flags, text, places = x[18 + 8 * n : 18 + 9 * n], x[18 + 9 * n : 17 + 10 * n + LENGTH], x[17 + 10 * n + LENGTH :]
+                for k, h in enumerate(np.frombuffer(x, "<u8", n, 18).tolist()):
+                    if h and (uid, h >> int(kept_bits)) in pairs:
+                        digests.append(hashlib.blake2b(_window(text, k, n), digest_size=16).digest())
+                        ranges.append(b"" if flags[k] else _placed(np.ones(1, bool), low + k, places).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(digests), pa.int64()), pa.array(ranges, pa.binary()), pa.array(digests, pa.binary())], names=["uid", "ranges", "digest"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _by_uid([np.frombuffer(b"".join(b.column(0).to_pylist()), _RANGE)])
 
     rows = suffixes.filter("key IS NOT NULL").select("key", "low", "high", "places")
     dealt = rows.repartitionByRange(n, F.substring("key", 1, LEAD), F.xxhash64("key"))
     packed = dealt.mapInArrow(sort, blobs.SCHEMA)
-    return blobs.repeated(packed, bits, homes).groupBy("slot").applyInArrow(gather, RANGES)
+    found = common.write_table(blobs.repeated(packed, bits, homes).groupBy("slot").applyInArrow(gather, FOUND), "found", compression="zstd")
+    windows = found.filter("digest IS NOT NULL")
+    twice = windows.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest")
+    more = windows.filter("length(ranges) > 0").join(twice, "digest", "left_semi").select("ranges").mapInArrow(split, RANGES)
+    return found.filter("digest IS NULL").select("uid", "ranges").union(more)
 
 
 def removed(text: bytes, ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -384,4 +406,5 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(common.documents(spark, sf_dir)).drop("uid")
+    out = dedup(common.documents(spark, sf_dir)).drop("uid")
+    return out.withColumn("has_repeats", (F.col("n_removed") > 0).cast("int"))
