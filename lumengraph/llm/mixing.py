@@ -10,8 +10,8 @@ Budgets: sources by code point, null last, have the weights in turn and share ``
 ``max_epochs`` times its own words, and what it can't take the others share by weight. The share per weight unit at
 which this balances is found over the sources sorted by the share at which each is full.
 
-Null text has size 0, and takes nothing; rows with equal ids are ordered by size (equal ones are interchangeable, each
-has a row of its own); a null id is an id like others; further columns are ignored; an empty table gives an empty result.
+Null text has size 0, and takes nothing; the key is of id and text, so that rows of one id, or of none, are spread too, and
+only rows equal in both, which are interchangeable, have one key; further columns are ignored; an empty table gives an empty result.
 Only DataFrame functions; what has a single partition is a row for each source.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumengraph.llm import common
@@ -29,21 +29,22 @@ RANGE_ROWS, BLOCK_RANGES = 512, 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, source, size in words, and the hash-random key."""
+    """uid, doc_id, source, src (the source as a key that is never null), size in words, and the hash-random key."""
     return docs.select(
         common.row_ids(docs).alias("uid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("src"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.SPACE)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"), F.coalesce("text", F.lit("")))).alias("key"),
     )
 
 
 def budgets(sized: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1, 2), max_epochs: int = 2) -> DataFrame:
-    """source, source_size, target of each source."""
+    """src, source_size, target of each source of (source, src, size)."""
     every = Window.partitionBy(F.lit(0))
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight).withColumn("full", F.lit(max_epochs) * F.col("source_size"))
+    s = sized.groupBy("source", "src").agg(F.sum("size").alias("source_size")).withColumn("weight", weight).withColumn("full", F.lit(max_epochs) * F.col("source_size"))
     rank = F.row_number().over(every.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last()))
     s = s.withColumn("rank", rank)
     before = every.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,29 +52,29 @@ def budgets(sized: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1
     open_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     s = s.withColumn("unit", left / open_weight)
     found = F.min(F.when(F.col("full") / F.col("weight") >= F.col("unit"), F.struct("rank", "unit"))).over(every)["unit"]
-    return s.select("source", "source_size", F.least(F.col("full").cast("double"), found * F.col("weight")).alias("target"))
+    return s.select("src", "source_size", F.least(F.col("full").cast("double"), found * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, ratio: float = 1.5, weights: Sequence[int] = (3, 1, 2), max_epochs: int = 2) -> DataFrame:
-    """uid (``common.row_ids`` of ``docs``), doc_id, size, source_size, target, taken of every document."""
+    """uid (``common.row_ids`` of ``docs``), doc_id, size, source_size, target, taken of every document.
+
+    Sums of ranges and of blocks are written, so that each plan has few exchanges; rows are shuffled once."""
     sized = common.write_table(sizes(common.stored(docs)), "mix-sizes")
     ranges = -(-sized.count() // RANGE_ROWS)
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.lit(float(max(1, ranges)))).cast("long")
     dealt = sized.withColumn("range", at)
-    sums = dealt.groupBy("source", "range").agg(F.sum("size").alias("words")).withColumn("block", F.floor(F.col("range") / BLOCK_RANGES))
-    upto = (Window.unboundedPreceding, -1)
-    none = F.lit(0).cast("long")
-    blocks = sums.groupBy("source", "block").agg(F.sum("words").alias("words"))
-    blocks = blocks.select("source", "block", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("block").rowsBetween(*upto)), none).alias("to_block"))
-    b = budgets(sized, ratio, weights, max_epochs)
-    blocks = blocks.alias("x").join(b.alias("b"), F.expr("x.source <=> b.source")).select(F.col("x.source").alias("source"), "block", "to_block", "source_size", "target")
-    in_block = F.coalesce(F.sum("words").over(Window.partitionBy("source", "block").orderBy("range").rowsBetween(*upto)), none)
-    starts = (
-        sums.withColumn("in_block", in_block).alias("x").join(blocks.alias("k"), F.expr("x.source <=> k.source AND x.block = k.block"))
-        .select(F.col("x.source").alias("source"), "range", (F.col("to_block") + F.col("in_block")).alias("to_range"), "source_size", "target")
-    )
-    in_range = F.coalesce(F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(*upto)), none)
-    out = dealt.withColumn("in_range", in_range).alias("d").join(starts.alias("s"), F.expr("d.source <=> s.source AND d.range = s.range"))
+    upto, none = (Window.unboundedPreceding, -1), F.lit(0).cast("long")
+
+    def before(value: str, keys: list[str], *order: str) -> Column:
+        return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)), none)
+
+    sums = dealt.groupBy("source", "src", "range").agg(F.sum("size").alias("size")).withColumn("block", F.floor(F.col("range") / BLOCK_RANGES))
+    sums = common.write_table(sums, "mix-ranges")
+    blocks = common.write_table(sums.groupBy("source", "src", "block").agg(F.sum("size").alias("size")), "mix-blocks")
+    b = blocks.select("src", "block", before("size", ["src"], "block").alias("to_block")).join(budgets(blocks, ratio, weights, max_epochs), "src")
+    starts = sums.select("src", "block", "range", before("size", ["src", "block"], "range").alias("in_block")).join(b, ["src", "block"])
+    starts = common.write_table(starts.select("src", "range", (F.col("to_block") + F.col("in_block")).alias("to_range"), "source_size", "target"), "mix-starts")
+    out = dealt.withColumn("in_range", before("size", ["src", "range"], "key", "size")).join(starts, ["src", "range"])
     budget = F.floor(F.col("target") + 0.5)
     first = F.col("to_range") + F.col("in_range")
     taken = sum((F.greatest(none, F.least(F.col("size"), budget - F.col("source_size") * e - first)) for e in range(max_epochs)), none)
@@ -87,7 +88,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-           md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+           md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || coalesce(text, '')) AS key
     FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
 w AS (SELECT source, source_size, CASE (n - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap, n FROM s),
@@ -101,7 +102,7 @@ f AS (SELECT unit FROM u WHERE CAST(cap AS DOUBLE) / weight >= unit ORDER BY ran
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT unit FROM f) * weight) AS target FROM u),
 p AS (
     SELECT doc_id, source, size,
-           coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+           coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
     FROM d)
 SELECT p.doc_id, p.size, t.source_size, CAST(t.target AS DOUBLE) AS target,
        CAST(greatest(0, least(p.size, floor(t.target + 0.5) - p.c))
