@@ -17,41 +17,44 @@ from lumengraph.llm import common, jaccard_join, mixing, sentencepieces, suffix_
 _LAST = (1 << 63) - 1
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_uid", common.row_ids(docs))
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Names of new columns that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in (f"_{name}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken) for name in names]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     model = toxicity.fit(docs, common.documents(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out=("_score", "_toxic")).filter("_toxic = 0").select(*docs.columns)
+    score, toxic = _free(docs, "score", "toxic")
+    return toxicity.score(docs, model, out=(score, toxic)).filter(F.col(toxic) == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    docs = common.stored(docs)
+    docs, (uid,) = common.stored(docs), _free(docs, "uid")
     found = jaccard_join.linked(docs)
     first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "uid")).alias("first"))
-    kept = common.write_table(first.select(F.col("first.uid").alias("_uid")), "kept")
-    return _numbered(docs).join(kept, "_uid", "left_semi").select(*docs.columns)
+    kept = common.write_table(first.select(F.col("first.uid").alias(uid)), "kept")
+    return docs.withColumn(uid, common.row_ids(docs)).join(kept, uid, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    docs = common.stored(docs)
-    found = suffix_dedup.dedup(docs, texts=True).filter("kept IS NOT NULL").select(F.col("uid").alias("_uid"), F.col("kept").cast("string").alias("_kept"))
+    docs, (uid, kept) = common.stored(docs), _free(docs, "uid", "kept")
+    found = suffix_dedup.dedup(docs, texts=True).filter("kept IS NOT NULL").select(F.col("uid").alias(uid), F.col("kept").cast("string").alias(kept))
     found = common.write_table(found, "kept-texts", compression="zstd")
-    out = _numbered(docs).join(found, "_uid", "left").withColumn("text", F.coalesce("_kept", "text"))
+    out = docs.withColumn(uid, common.row_ids(docs)).join(found, uid, "left").withColumn("text", F.coalesce(kept, "text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    docs = common.stored(docs)
-    taken = mixing.mix(docs).filter("taken > 0").select(F.col("uid").alias("_uid"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    docs, (uid, copies) = common.stored(docs), _free(docs, "uid", "copies")
+    taken = mixing.mix(docs).filter("taken > 0").select(F.col("uid").alias(uid), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(copies))
     taken = common.write_table(taken, "taken")
-    copies = F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")
-    return _numbered(docs).join(taken, "_uid").select(*docs.columns, copies).select(*docs.columns)
+    every = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(uid)
+    return docs.withColumn(uid, common.row_ids(docs)).join(taken, uid).select(*docs.columns, every).select(*docs.columns)
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
