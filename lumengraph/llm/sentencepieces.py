@@ -44,7 +44,7 @@ HEAD = 4
 #: Bytes of text that share one dictionary, about.
 CHUNK = 16 << 20
 #: Characters of texts that are held as arrays together; longer texts are cut at spaces.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Units that all chunks share in one dictionary: those in most chunks, at most so many.
 COMMON = 200_000
 #: Bytes of a file of dictionaries, about; of a row group in it.
@@ -134,7 +134,7 @@ class Model:
     def cut(self, parts: list[str]) -> Units:
         """Units of successive parts."""
         chars = code_points("".join(parts))
-        k = self.number[chars].astype(np.int64)
+        k = self.number[chars].astype(np.int32)
         ends = np.cumsum([len(x) for x in parts])
         first = np.ones(len(chars), bool)
         first[1:] = ~self.beside[k[:-1] * self.width + k[1:]]
@@ -147,7 +147,7 @@ class Model:
         most = int(size.max()) if len(size) else 0
         while len(self.odd) < most:
             self.odd = np.multiply.accumulate(np.full(2 * len(self.odd), 0x9E3779B97F4A7C15, np.uint64))
-        at = np.arange(len(chars)) - np.repeat(start, size)
+        at = np.arange(len(chars), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
         h = np.add.reduceat(self.spread[chars] * self.odd[at], start) if len(start) else np.empty(0, np.uint64)
         return Units(chars, start, size, blobs.mixed(h), ends)
 
@@ -204,17 +204,26 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """All bytes of a column without nulls, and each value's size."""
+    c = column.combine_chunks()
+    if not len(c):
+        return b"", np.empty(0, np.int64)
+    ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+    return c.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes(), np.diff(ends).astype(np.int64)
+
+
 class Dictionary:
     """Ids of distinct units, by hash."""
 
     def __init__(self, m: Model, tables: list[pa.Table]):
         t = pa.concat_tables(tables) if tables else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
-        units, ids = (t.column(c).combine_chunks() for c in ("unit", "ids"))
-        size = pc.utf8_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.units = m.hashed(code_points("".join(units.to_pylist())), np.cumsum(size) - size, np.empty(0, np.int64))
-        self.size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        raw, _ = _flat(t.column("unit"))
+        size = pc.utf8_length(t.column("unit")).to_numpy().astype(np.int64)
+        self.units = m.hashed(code_points(raw.decode()), np.cumsum(size) - size, np.empty(0, np.int64))
+        raw, size = _flat(t.column("ids"))
+        self.ids, self.size = np.frombuffer(raw, "<i4"), size // 4
         self.start = np.cumsum(self.size) - self.size
-        self.ids = np.frombuffer(b"".join(ids.to_pylist()), "<i4")
         self.order = np.argsort(self.units.hash, kind="stable")
         self.sorted = self.units.hash[self.order]
 
@@ -365,6 +374,7 @@ class _Encoder:
         store, root = fs.FileSystem.from_uri(self.folder)
         for chunk, b in self.chunked(batches):
             if chunk != now:
+                books = []  # before the next is read
                 now, books = chunk, [_common(self.path, self.folder), Dictionary(m, _tables(store, f"{root}/slot={chunk % self.slots}", chunk))]
             count, flat = np.zeros(b.num_rows, np.int64), [np.empty(0, np.int32)]
             for part, of in m.parts(b.column(2).to_pylist()):

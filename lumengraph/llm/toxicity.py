@@ -38,7 +38,7 @@ PAIR_CHI2, PAIR_ROWS, PAIR_GAIN = 60.0, 10, 1.5
 #: Commonest terms of which all pairs are looked at; rows of which they are counted at once.
 TERMS, PAIR_BLOCK = 2048, 1024
 #: Terms that a worker's cache may hold.
-CACHE = 150_000
+CACHE = 50_000
 _TERM = re.compile(r"[^\W\d_]+")
 
 
