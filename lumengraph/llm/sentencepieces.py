@@ -45,6 +45,8 @@ HEAD = 4
 CHUNK = 16 << 20
 #: Characters of texts that are held as arrays together; longer texts are cut at spaces.
 BLOCK = 1 << 18
+#: Units that are hashed together.
+UNITS = 1 << 14
 #: Units that all chunks share in one dictionary: those in most chunks, at most so many.
 COMMON = 200_000
 #: Bytes of a file of dictionaries, about; of a row group in it.
@@ -147,8 +149,12 @@ class Model:
         most = int(size.max()) if len(size) else 0
         while len(self.odd) < most:
             self.odd = np.multiply.accumulate(np.full(2 * len(self.odd), 0x9E3779B97F4A7C15, np.uint64))
-        at = np.arange(len(chars), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
-        h = np.add.reduceat(self.spread[chars] * self.odd[at], start) if len(start) else np.empty(0, np.uint64)
+        h = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), UNITS):  # so that little more than the code points is held
+            own, z = start[a : a + UNITS], min(a + UNITS, len(start))
+            part = chars[own[0] : start[z] if z < len(start) else len(chars)]
+            at = np.arange(len(part)) - np.repeat(own - own[0], size[a:z])
+            h[a:z] = np.add.reduceat(self.spread[part] * self.odd[at], own - own[0])
         return Units(chars, start, size, blobs.mixed(h), ends)
 
     def ids_of(self, piece: str) -> list[int]:
