@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import calendar
 import re
-from datetime import date, timedelta
+from datetime import date, datetime, time, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 # Month names in English and Polish (fixed values).
 MONTHS = {
@@ -50,3 +51,23 @@ def recent(days: int, today: date) -> tuple[date, date, date, date]:
         raise ValueError("1 to 90 days")
     first = today - timedelta(days=days - 1)
     return first, today, first - timedelta(days=days), first - timedelta(days=1)
+
+
+def bounds(first: str | None, last: str | None, today: date) -> tuple[float | None, float | None]:
+    """Epoch seconds, UTC, of the first day's start and the last day's last second; with a first day only, up to today."""
+    a = parse_date(first, False, today) if first else None
+    z = parse_date(last, True, today) if last else (today if a else None)
+    if a and z and a > z:
+        raise ValueError(f"{a} is after {z}")
+    low = datetime.combine(a, time(), timezone.utc).timestamp() if a else None
+    return low, datetime.combine(z, time(23, 59, 59), timezone.utc).timestamp() if z else None
+
+
+# Named forms of a time (fixed values).
+STAMPS = {"iso8601": "%Y-%m-%dT%H:%M:%S", "date_only": "%Y-%m-%d", "obsidian": "%Y-%m-%d %H:%M"}
+
+
+def stamp(now: datetime, form: str = "iso8601", zone: str = "UTC") -> str:
+    """A time in a named form or one of strftime's, in a zone, or "local"."""
+    at = now.astimezone(None if zone == "local" else ZoneInfo(zone))
+    return at.strftime(STAMPS.get(form, form))

@@ -4,40 +4,92 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from lumengraph.functions import frontmatter, markdown
+
 Edited = tuple[str | None, str | None]
+EDITED = "struct<text:string,error:string>"
+#: Bytes shown on either side of a place in an error.
+AROUND = 20
+
+
+def _ended(text: str) -> str:
+    return text if text.endswith("\n") else text + "\n"
 
 
 def split_frontmatter(text: str) -> tuple[str, str]:
-    """Frontmatter with its fences, and the body."""
-    if not text.startswith("---") or (end := text.find("\n---", 3)) < 0:
+    """Frontmatter with its fences and a line end, empty without anything between them, and the body."""
+    front = frontmatter.parsed(text)
+    if front is None:
         return "", text
-    return text[: end + 4], text[end + 4 :]
+    inner = "\n".join(front.lines).strip()
+    return (f"---\n{inner}\n---\n" if inner else ""), front.rest
 
 
-def append(text: str, content: str) -> Edited:
-    return (text if text.endswith("\n") or not text else text + "\n") + content.rstrip("\n") + "\n", None
+def section_by_heading(text: str, heading: str) -> tuple[markdown.Section | None, str | None]:
+    """The only section of a title, number signs aside."""
+    wanted = heading.lstrip("#").strip()
+    found = [s for s in markdown.sections(text) if s.title == wanted]
+    if len(found) == 1:
+        return found[0], None
+    return None, f"found {len(found)} sections" if found else "no such section"
+
+
+def append(text: str, content: str, heading: str | None = None) -> Edited:
+    """At the end, or at that of a section."""
+    if heading is None:
+        return _ended(_ended(text) + content), None
+    s, error = section_by_heading(text, heading)
+    if s is None:
+        return None, error
+    own, rest = text[: s.body] + text[s.body : s.end].rstrip(), text[s.end :]
+    return _ended(_ended(own) + content) + ("\n" + rest if rest else ""), None
 
 
-def prepend(text: str, content: str) -> Edited:
-    front, rest = split_frontmatter(text)
-    if not front:
-        return content.rstrip("\n") + "\n\n" + rest.lstrip("\n"), None
-    return front + "\n\n" + content.strip("\n") + "\n\n" + rest.lstrip("\n"), None
+def prepend(text: str, content: str, heading: str | None = None) -> Edited:
+    """After the frontmatter, or right below a heading."""
+    if heading is None:
+        front, body = split_frontmatter(text)
+        body = body.lstrip("\n")
+        return _ended(front + content) + (_ended(body) if body else ""), None
+    s, error = section_by_heading(text, heading)
+    return (None, error) if s is None else (_ended(_ended(text[: s.body]) + content) + text[s.body :], None)
 
 
 def overwrite(text: str, content: str) -> Edited:
-    front, _ = split_frontmatter(text)
-    return (front + "\n\n" if front else "") + content.strip("\n") + "\n", None
+    return _ended(split_frontmatter(text)[0] + content), None
+
+
+def replace_section(text: str, heading: str, content: str) -> Edited:
+    """What stands below a heading up to the next of its level or above; content may repeat the heading's line."""
+    s, error = section_by_heading(text, heading)
+    if s is None:
+        return None, error
+    first, newline, below = content.partition("\n")
+    if newline and first.lstrip().startswith("#") and first.lstrip().lstrip("#").strip() == heading.lstrip("#").strip():
+        content = below
+    rest = text[s.end :]
+    return _ended(_ended(text[: s.body]) + content) + ("\n" + rest if rest else ""), None
 
 
 def _once(text: str, wanted: str) -> str | None:
+    """Why there isn't exactly one place: places with line, column and what stands around."""
     if not wanted:
         return "nothing to look for"
     at = [m.start() for m in re.finditer(re.escape(wanted), text)]
     if len(at) == 1:
         return None
-    places = ", ".join(f"line {text.count(chr(10), 0, i) + 1}, column {i - text.rfind(chr(10), 0, i)}" for i in at[:5])
-    return f"found {len(at)} times: {places}" if at else "not found"
+
+    def shown(i: int) -> str:
+        before = text[:i].encode()[-AROUND:].decode(errors="ignore")
+        after = text[i + len(wanted) :].encode()[:AROUND].decode(errors="ignore")
+        around = f"{before}{wanted}{after}".replace("\n", "\\n")
+        return f"line {text.count(chr(10), 0, i) + 1}, column {i - text.rfind(chr(10), 0, i)}: ...{around}..."
+
+    return f"found {len(at)} times: {'; '.join(map(shown, at))}" if at else "not found"
 
 
 def replace_text(text: str, old: str, new: str) -> Edited:
@@ -47,25 +99,27 @@ def replace_text(text: str, old: str, new: str) -> Edited:
 
 
 def insert_after(text: str, anchor: str, content: str) -> Edited:
-    """Content on a line of its own after the line that has the only place of ``anchor``."""
+    """Content on lines of its own after the only place of ``anchor``."""
     error = _once(text, anchor)
     if error:
         return None, error
-    end = text.find("\n", text.index(anchor) + len(anchor))
-    end = len(text) if end < 0 else end
-    return text[:end] + "\n" + content.rstrip("\n") + text[end:], None
+    end = text.index(anchor) + len(anchor)
+    head, rest = text[:end], text[end:]
+    out = head + ("" if head.endswith("\n") or content.startswith("\n") else "\n") + content
+    return out + ("" if out.endswith("\n") or rest.startswith("\n") else "\n") + rest, None
 
 
-def replace_section(text: str, heading: str, content: str) -> Edited:
-    """What stands below a heading up to the next of its level or above."""
-    from lumengraph.functions.markdown import sections
+MODES = {"append": append, "prepend": prepend, "overwrite": overwrite, "replace_section": replace_section, "replace_text": replace_text, "insert_after": insert_after}
 
-    wanted = heading.lstrip("#").strip()
-    found = [s for s in sections(text) if s.title == wanted]
-    if len(found) != 1:
-        return None, f"found {len(found)} sections" if found else "no such section"
-    s = found[0]
-    return text[: s.body] + "\n" + content.strip("\n") + "\n" + ("\n" + text[s.end :] if s.end < len(text) else ""), None
+
+def edited(mode: str, text: Column, *args: str) -> Column:
+    """An edit of a column of notes, as EDITED."""
+    change = MODES[mode]
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([change(t or "", *args) for t in texts], columns=["text", "error"])
+
+    return F.pandas_udf(run, EDITED)(text)
 
 
 def edit_tags(tags: list[str], add: list[str], remove: list[str]) -> list[str]:

@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHUNK = "array<struct<chunk_index:int,breadcrumb:string,content:string>>"
+from lumengraph.functions.text import DATED_LINE, LIST_MARKER, WIKILINK
+
+CHUNK = "array<struct<chunk_index:int,breadcrumb:string,content:string,links:array<struct<target:string,alias:string>>>>"
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-_LINK = re.compile(r"\[\[([^\]|#]+)(?:#[^\]|]*)?\|?([^\]]*)\]\]")
+_LINK = re.compile(WIKILINK)
+_MARKER = re.compile(f"(?m){LIST_MARKER}")
+_DATED = re.compile(DATED_LINE)
 
 
 @dataclass(frozen=True)
@@ -53,50 +57,96 @@ def sections(text: str) -> list[Section]:
 
 
 def plain(text: str) -> str:
-    """Wikilinks by alias or target, other links by their text, without emphasis, code marks and list markers."""
-    text = _LINK.sub(lambda m: (m[2] or m[1]).strip(), text)
-    text = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    text = re.sub(r"(?m)^ {0,3}(?:```|~~~).*$", "", text)
+    """Links by their text, without emphasis, code marks and list markers; wikilinks stay."""
+    text = re.sub(r"!?\[([^\]\[]*)\]\([^)]*\)", r"\1", text)
+    text = re.sub(r"(?m)^ {0,3}(?:```|~~~).*\n?", "", text)
     text = re.sub(r"(?m)^\s*(?:[-*+] |\d+[.)] |> ?)", "", text)
     return re.sub(r"(\*\*|__|\*|`)(\S(?:.*?\S)?)\1", r"\2", text).strip()
 
 
+def shown(text: str) -> str:
+    """Wikilinks by alias, else target."""
+    return _LINK.sub(lambda m: (m[2] or m[1]).strip(), text)
+
+
+def links(text: str) -> list[tuple[str, str | None]]:
+    return [(m[1].strip(), m[2].strip() or None) for m in _LINK.finditer(text)]
+
+
+def is_changelog(text: str) -> bool:
+    """At least 80 of 100 lines that hold something start with a date, a list marker aside."""
+    lines = [x for x in text.splitlines() if x.strip()]
+    return bool(lines) and 100 * sum(bool(_DATED.match(_MARKER.sub("", x))) for x in lines) >= 80 * len(lines)
+
+
+def prose_chars(text: str) -> int:
+    """Characters that aren't white space, without links and list markers."""
+    return len(re.sub(r"\s", "", _MARKER.sub("", re.sub(r"\[\[[^\]]*\]\]", "", text))))
+
+
+def paragraphs(text: str) -> list[str]:
+    """Runs of lines between empty ones; fenced code is never cut."""
+    out, held, fenced = [], [], False
+    for line in text.split("\n"):
+        if line.lstrip().startswith("```"):
+            fenced = not fenced
+        elif not fenced and not line.strip():
+            out.append("\n".join(held).strip())
+            held = []
+            continue
+        held.append(line)
+    out.append("\n".join(held).strip())
+    return [p for p in out if p]
+
+
+def _tail(text: str, size: int) -> str:
+    """The last ``size`` bytes, and what a character that they cut has before them."""
+    raw = text.encode()
+    at = max(0, len(raw) - size)
+    while at and raw[at : at + 1] and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return raw[at:].decode()
+
+
 def split_large(content: str, size: int, overlap: int) -> list[str]:
     """Paragraphs packed up to ``size`` bytes, each part after the first led by the last ``overlap`` bytes before it."""
-    if len(content.encode()) <= size:
-        return [content]
-    out: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", content):
-        if out and len((out[-1] + "\n\n" + paragraph).encode()) <= size:
-            out[-1] += "\n\n" + paragraph
-        else:
-            tail = out[-1].encode()[-overlap:].decode(errors="ignore") if out and overlap else ""
-            out.append(f"{tail}\n\n{paragraph}" if tail else paragraph)
-    return out
+    out, held = [], ""
+    for p in paragraphs(content):
+        if held and len(held.encode()) + len(p.encode()) > size:
+            out.append(held.strip())
+            held = _tail(held, overlap).strip() + "\n\n"
+        held += p + "\n\n"
+    return [*out, held.strip()] if held.strip() else out
+
+
+Chunk = tuple[int, str, str, list[tuple[str, str | None]]]
 
 
-def chunks(text: str, title: str, size: int = 1500, overlap: int = 100, least: int = 20) -> list[tuple[int, str, str]]:
-    """(index, breadcrumb, content) of the preamble and every section's own text; sections of little prose are left out."""
-    parts: list[tuple[str, str]] = []
+def chunks(text: str, path: str, size: int = 1500, overlap: int = 100, least: int = 20) -> list[Chunk]:
+    """(index, breadcrumb, content, links) of the preamble and every section's own text, breadcrumbs from the path on. Sections of
+    little prose and changelogs are left out, and so are their links."""
     found = sections(text)
-    parts.append((title, text[: found[0].start] if found else text))
+    parts = [(path, text[: found[0].start] if found else text)]
     stack: list[Section] = []
     for i, s in enumerate(found):
         stack = [x for x in stack if x.level < s.level] + [s]
         nxt = found[i + 1].start if i + 1 < len(found) else len(text)
-        parts.append((" > ".join([title, *(x.title for x in stack)]), text[s.body : nxt]))
-    out: list[tuple[int, str, str]] = []
+        parts.append((" > ".join([path, *(x.title for x in stack)]), text[s.body : nxt]))
+    out: list[Chunk] = []
     for crumb, raw in parts:
-        if len(re.sub(r"\s", "", _LINK.sub("", plain(raw)))) < least:
+        body = plain(raw)
+        if not body or prose_chars(body) < least or is_changelog(body):
             continue
-        out += [(len(out) + k, crumb, c) for k, c in enumerate(split_large(plain(raw), size, overlap))]
+        cut = [body] if len(body.encode()) <= size else split_large(body, size, overlap)
+        out += [(len(out) + k, crumb, shown(c), links(c)) for k, c in enumerate(cut)]
     return out
 
 
-def _chunk_rows(text: pd.Series, title: pd.Series) -> pd.Series:
-    return pd.Series([[{"chunk_index": i, "breadcrumb": b, "content": c} for i, b, c in chunks(t or "", n or "")] for t, n in zip(text, title, strict=True)])
+def _chunk_rows(text: pd.Series, path: pd.Series) -> pd.Series:
+    rows = ([(i, b, c, own) for i, b, c, own in chunks(t or "", p or "")] for t, p in zip(text, path, strict=True))
+    return pd.Series([[{"chunk_index": i, "breadcrumb": b, "content": c, "links": [{"target": t, "alias": a} for t, a in own]} for i, b, c, own in r] for r in rows])
 
 
-def chunk_column(text: Column, title: Column) -> Column:
+def chunk_column(text: Column, path: Column) -> Column:
     """Chunks of a note, to be exploded."""
-    return F.pandas_udf(_chunk_rows, CHUNK)(text, title)
+    return F.pandas_udf(_chunk_rows, CHUNK)(text, path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FRONTMATTER = "(?s)^---(.*?)\\n---(.*)$"
+# What a link looks like: target, part, alias (fixed value).
 WIKILINK = "\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?\\|?([^\\]]*)\\]\\]"
 LIST_MARKER = "^\\s*([-*] |\\d+[.)] )"
 DATED_LINE = "^(\\[\\[)?\\d{4}-\\d{2}-\\d{2}"
@@ -73,11 +74,22 @@ def is_changelog(text: Column) -> Column:
     return (F.size(lines) > 0) & (F.size(dated) * 100 >= F.size(lines) * 80)
 
 
-def truncated(text: Column, size: int) -> Column:
-    """The first ``size`` bytes, without a part of a character at the end, and an ellipsis; shorter texts as they are."""
+def first_bytes(text: Column, size: int) -> Column:
+    """The first ``size`` bytes, without a part of a character at the end; shorter texts as they are."""
     cut = F.substring(F.encode(text, "UTF-8"), 1, size + 1)
     whole = F.regexp_replace(F.hex(cut), "^((?:..)*?)(?:[CDEF].(?:[89AB].)*|..)$", "$1")
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(F.unhex(whole).cast("string"), F.lit("...")))
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.unhex(whole).cast("string"))
+
+
+def truncated(text: Column, size: int) -> Column:
+    """``first_bytes`` and an ellipsis; shorter texts as they are."""
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(first_bytes(text, size), F.lit("...")))
+
+
+def byte_slice(text: Column, offset: int, size: int) -> Column:
+    """Bytes from an offset on; a character that an end cuts belongs to what follows that end."""
+    low, high = (F.octet_length(first_bytes(text, n)) for n in (offset, offset + size))
+    return F.substring(F.encode(text, "UTF-8"), low + 1, F.greatest(high - low, F.lit(0))).cast("string")
 
 
 def path_date(path: Column) -> Column:
