@@ -4,10 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_time(old: DataFrame, present: DataFrame, key: str = "source_file") -> DataFrame:
+    """Rows of ``present`` (key, file_mtime) whose stored time (key, file_mtime) is missing or more than a second off: those that need hashing."""
+    was = old.select(key, F.col("file_mtime").alias("was"))
+    near = F.abs(F.col("file_mtime") - F.col("was")) <= 1
+    return present.join(was, key, "left").filter(~F.coalesce(near, F.lit(False))).drop("was")
+
+
+def categories(found: DataFrame) -> DataFrame:
+    """(change, notes)."""
+    return found.groupBy("change").agg(F.count("*").alias("notes"))
+
+
+#: Parts of a key that are ranked on their own first.
+SHARES = 64
+
+
+def newest(rows: DataFrame, key: str, order: str, n: int, rank: str = "rank") -> DataFrame:
+    """Of each key the ``n`` rows of greatest ``order``, with their rank: what a retention keeps. Shares of a key are cut to ``n`` before
+    they meet."""
+    share = F.pmod(F.xxhash64(order), F.lit(SHARES))
+    first = F.row_number().over(Window.partitionBy(key, "_share").orderBy(F.desc(order)))
+    kept = rows.withColumn("_share", share).withColumn(rank, first).filter(F.col(rank) <= n).drop("_share")
+    return kept.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col(rank) <= n)
+
+
 def detect(old: DataFrame, new: DataFrame, key: str = "source_file") -> DataFrame:
     """(key, change): added, modified or deleted, by ``content_hash``; unchanged rows are left out."""
     a, b = old.select(key, F.col("content_hash").alias("was")), new.select(key, F.col("content_hash").alias("now"))

@@ -51,10 +51,16 @@ def fuzzy_path(path: Column, wanted: Column, fold: bool = False) -> Column:
     return (p == ends[0]) | (p == ends[1]) | F.endswith(p, F.concat(slash, ends[0])) | F.endswith(p, F.concat(slash, ends[1]))
 
 
+def level_at_least(level: Column, least: str, levels: Sequence[str] = ("trace", "debug", "info", "warn", "error")) -> Column:
+    """Whether a level stands at ``least`` or after it in the order of levels; an unknown one stands before all."""
+    order = F.array(*map(F.lit, levels))
+    return F.coalesce(F.array_position(order, F.lower(level)), F.lit(0)) >= list(levels).index(least) + 1
+
+
 def is_content(breadcrumb: Column, boilerplate: Sequence[str]) -> Column:
     """Whether a chunk's last heading is none of the boilerplate patterns; a chunk without a heading is content."""
     last = F.trim(F.element_at(F.split(breadcrumb, " > "), -1))
     hit = F.lit(False)
     for p in boilerplate:
         hit = hit | last.rlike(p)
-    return ~F.contains(breadcrumb, F.lit(" > ")) | ~hit
+    return ~F.contains(breadcrumb, F.lit(" > ")) | (last == "") | ~hit
