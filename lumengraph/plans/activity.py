@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.functions import dates, text
+from lumengraph.functions import dates, markdown, text
 from lumengraph.operators import activity, changes
 from lumengraph.plans.catalog import query
 from lumengraph.sources import views
@@ -40,13 +40,13 @@ def recent_new_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.new_tags(e, date(2024, 1, 5), TODAY)
 
 
-@query(
-    "recent_gaps",
-    f"WITH {_E} SELECT strftime(d, '%Y-%m-%d') AS day FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS d) WHERE d NOT IN (SELECT day FROM e WHERE user_id = 3)",
-)
+_DAYS = "(SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS d)"
+
+
+@query("recent_gaps", f"WITH {_E} SELECT u.user_id, strftime(d, '%Y-%m-%d') AS day FROM (SELECT DISTINCT user_id FROM e) u, {_DAYS} WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = u.user_id AND e.day = d)")
 def recent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entries(spark, sf_dir).filter("user_id = 3")
-    return activity.gaps(e, date(2024, 1, 1), TODAY).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    """Days without an event of each user."""
+    return activity.gaps(_entries(spark, sf_dir), date(2024, 1, 1), TODAY, by=["user_id"]).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 _WORDS = "len(string_split_regex(regexp_replace(full_text, '^\\s+|\\s+$', '', 'g'), '\\s+'))"
@@ -115,7 +115,7 @@ def reindex_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
 )
 def event_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = refresh.event_windows(table(spark, sf_dir, "events"))
+    w = refresh.event_windows(table(spark, sf_dir, "events")).drop("end")
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 6).alias("total"))
 
 
@@ -163,8 +163,70 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_sections")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumengraph.functions import markdown
-
+    """Chunks of whole documents under a heading; paragraphs are too many ways of Markdown for SQL."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Part\n\n"), "text").alias("t"))
     c = F.explode(markdown.chunk_column(F.col("t"), F.concat(F.lit("n"), F.col("doc_id").cast("string")))).alias("c")
     return d.select("doc_id", c).select("doc_id", "c.chunk_index", "c.breadcrumb", F.octet_length("c.content").alias("bytes"))
+
+
+@query("event_sliding", "SELECT CAST(s AS TIMESTAMP) AS start, event_type, count(*) AS events FROM (SELECT event_type, unnest([date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts)]) AS s FROM events) GROUP BY 1, 2")
+def event_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two hours that start every hour."""
+    w = refresh.event_windows(table(spark, sf_dir, "events"), "2 hours", slide="1 hour")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events")
+
+
+@query(
+    "event_sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, fresh DESC ROWS UNBOUNDED PRECEDING) AS n FROM e)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS end, count(*) AS events FROM s GROUP BY user_id, n""",
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's runs of events less than twelve hours apart."""
+    w = refresh.event_sessions(table(spark, sf_dir, "events"), "12 hours")
+    return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
+
+
+@query("event_last", "SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS INTEGER) AS rank FROM events) WHERE rank <= 5")
+def event_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.newest(table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id", 5)
+
+
+_DATED_SQL = f"""n AS ({views.NOTES_SQL}), e AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'journal/' || strftime(DATE '2024-01-24' + CAST(doc_id % 4 AS INTEGER), '%Y-%m-%d') || '.' || CAST(doc_id AS VARCHAR) || '.md' ELSE source_file END AS path, title, last_modified AS seconds,
+    CAST(to_timestamp(last_modified) AT TIME ZONE 'UTC' AS DATE) AS day, tags, CASE WHEN trim(full_text) = '' THEN 0 ELSE {_WORDS} END AS words FROM n),
+    now AS (SELECT * FROM e WHERE day BETWEEN {_A} AND {_Z})"""
+
+
+def _dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, day = views.notes(spark, sf_dir), F.date_add(F.lit("2024-01-24").cast("date"), (F.col("doc_id") % 4).cast("int"))
+    path = F.concat(F.lit("journal/"), F.date_format(day, "yyyy-MM-dd"), F.lit("."), F.col("doc_id").cast("string"), F.lit(".md"))
+    return n.select(
+        F.when(F.col("doc_id") % 11 == 0, path).otherwise(F.col("source_file")).alias("path"), "title", F.col("last_modified").alias("at"),
+        text.day(F.col("last_modified")).cast("date").alias("day"), "tags", text.word_count(F.col("full_text")).alias("words"),
+    )
+
+
+_GAPS_SQL = f"SELECT strftime(d, '%Y-%m-%d') AS day FROM {_DAYS} WHERE d BETWEEN {_A} AND {_Z} AND d NOT IN (SELECT CAST(regexp_extract(path, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS DATE) FROM now WHERE starts_with(path, 'journal/'))"
+
+
+@query("journal_gaps", f"WITH {_DATED_SQL} {_GAPS_SQL}")
+def journal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.journal_gaps(_dated_entries(spark, sf_dir), *WINDOW[:2]).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "recent_context",
+    f"""WITH {_DATED_SQL}, t AS (SELECT unnest(tags) AS tag FROM now)
+    SELECT 'current' AS part, '' AS name, (SELECT count(*) FROM now) AS value
+    UNION ALL SELECT 'previous', '', (SELECT count(*) FROM e WHERE day BETWEEN {_B} AND {_Y})
+    UNION ALL SELECT 'tag', tag, count(*) FROM t GROUP BY tag
+    UNION ALL SELECT 'new_tag', tag, 1 FROM t WHERE tag NOT IN (SELECT unnest(tags) FROM e WHERE day < {_A}) GROUP BY tag
+    UNION ALL SELECT 'gap', day, 1 FROM ({_GAPS_SQL}) WHERE (SELECT count(*) FROM now) > 0
+    UNION ALL (SELECT 'longest', title, words FROM now ORDER BY words DESC, title LIMIT 1)
+    UNION ALL (SELECT 'shortest', title, words FROM now ORDER BY words, title LIMIT 1)
+    UNION ALL (SELECT 'entry', path, CAST(floor(seconds) AS BIGINT) FROM now ORDER BY seconds DESC, path LIMIT 10)""",
+)
+def recent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week's activity as a whole."""
+    return activity.recent_context(_dated_entries(spark, sf_dir), WINDOW)

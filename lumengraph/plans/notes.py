@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.operators import fulltext, predicates, vectors
+from lumengraph.operators import fulltext, predicates, search, vectors
 from lumengraph.plans.catalog import query
-from lumengraph.sources import views
+from lumengraph.sources import scratch, vault, views
 from lumengraph.sources.tables import table
 
 _N = f"n AS ({views.NOTES_SQL})"
@@ -39,10 +39,11 @@ def list_tags_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.notes(spark, sf_dir).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "tag")
 
 
-@query("list_tags_full", f"WITH {_N} SELECT tag, count(*) AS files, string_agg(source_file, ',' ORDER BY source_file) AS names FROM ({_TAGS}) WHERE starts_with(source_file, 'src2/') GROUP BY tag")
+@query("list_tags_full", f"WITH {_N}, t AS (SELECT * FROM ({_TAGS}) WHERE starts_with(source_file, 'src2/')) SELECT tag, files, source_file FROM t JOIN (SELECT tag, count(*) AS files FROM t GROUP BY tag) USING (tag)")
 def list_tags_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each file of a tag, so that a common tag's files needn't meet."""
     t = views.notes(spark, sf_dir).filter(predicates.in_folder(F.col("source_file"), "src2")).select(F.explode("tags").alias("tag"), "source_file")
-    return t.groupBy("tag").agg(F.count("*").alias("files"), F.array_join(F.sort_array(F.collect_list("source_file")), ",").alias("names"))
+    return t.join(t.groupBy("tag").agg(F.count("*").alias("files")), "tag").select("tag", "files", "source_file")
 
 
 @query("list_tags_nonrecursive", f"WITH {_N} SELECT tag, count(*) AS files FROM ({_TAGS}) WHERE starts_with(source_file, 'src2/fr/') AND strpos(substr(source_file, 9), '/') = 0 GROUP BY tag")
@@ -63,23 +64,43 @@ _BM25 = f"""
 """
 
 
+def _index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    """The notes' index, built once for a session and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        _INDEXES[at] = fulltext.Index.build(views.notes(spark, sf_dir), scratch.folder(spark, "postings"))
+    return _INDEXES[at]
+
+
+_INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+
+
 @query("fts_bm25", f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25, round(rank_score, 6) AS rank_score FROM top")
 def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fulltext.ranked(_index(spark, sf_dir).bm25(_TERMS), 20)
+    return found.select("doc_id", F.round("bm25", 6).alias("bm25"), F.round("rank_score", 6).alias("rank_score"))
+
+
+@query("fts_bm25_scan", f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25, round(rank_score, 6) AS rank_score FROM top")
+def fts_bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``fts_bm25``, of texts that have no index."""
     found = fulltext.ranked(fulltext.bm25(views.notes(spark, sf_dir), _TERMS), 20)
     return found.select("doc_id", F.round("bm25", 6).alias("bm25"), F.round("rank_score", 6).alias("rank_score"))
 
 
+@query("fts_snippets")
+def fts_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a full-text search shows of its hits: title, the first 500 bytes with links by their text."""
+    found = fulltext.ranked(_index(spark, sf_dir).bm25(_TERMS), 20)
+    shown = search.snippets(views.notes(spark, sf_dir)).join(F.broadcast(found), "doc_id")  # 20 hits
+    return shown.select(F.col("source_file").alias("note_path"), "breadcrumb", "content", F.size("links").alias("links"), F.round("rank_score", 6).alias("score"))
+
+
 @query(
     "fts_postings",
-    f"WITH {_N} SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM n) GROUP BY doc_id, term) GROUP BY term HAVING count(*) >= 20",
+    f"WITH {_N} SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM n) GROUP BY doc_id, term) GROUP BY term",
 )
 def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.postings(views.notes(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("uses")).filter("docs >= 20")
-
-
-@query("fts_postings_all")
-def fts_postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``fts_postings``, of every term; it has no SQL."""
     return fulltext.postings(views.notes(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("uses"))
 
 
@@ -99,7 +120,7 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.chunks(spark, sf_dir)
     v = c.filter("vec_id = 0").first().vector
     near = vectors.topk(c, vectors.literal(v), 20).select(F.col("note_id").alias("doc_id"), "distance")
-    found = fulltext.ranked(fulltext.bm25(views.notes(spark, sf_dir), _TERMS), 20)
+    found = fulltext.ranked(_index(spark, sf_dir).bm25(_TERMS), 20)
     return fulltext.fuse(near, found, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -165,30 +186,19 @@ def examine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("position", "matches", status.alias("status"), "first_match")
 
 
-_STEM = "regexp_extract(source_file, '([^/]+)[.]md$', 1)"
-
-
 @query(
     "link_resolve",
-    f"WITH {_N}, s AS (SELECT substr({_STEM}, 1, 2) AS stem, source_file FROM n) SELECT stem, arg_min(source_file, strlen(source_file) * 1000000 + o) AS path FROM (SELECT *, row_number() OVER (ORDER BY source_file) AS o FROM s) GROUP BY stem",
+    f"""WITH {_N}, f AS (SELECT source_file FROM n UNION ALL SELECT 'old/' || source_file FROM n WHERE doc_id % 3 = 0 UNION ALL SELECT 'a/' || source_file FROM n WHERE doc_id % 5 = 0 UNION ALL SELECT 'b/' || source_file FROM n WHERE doc_id % 5 = 0 AND doc_id % 3 <> 0)
+    SELECT stem, source_file AS path FROM (SELECT regexp_extract(source_file, '([^/]+)[.]md$', 1) AS stem, source_file, row_number() OVER (PARTITION BY regexp_extract(source_file, '([^/]+)[.]md$', 1) ORDER BY strlen(source_file), source_file) AS r FROM f) WHERE r = 1""",
 )
 def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each stem the path of fewest bytes, then the least."""
-    s = views.notes(spark, sf_dir).select(F.substring(F.regexp_extract("source_file", "([^/]+)[.]md$", 1), 1, 2).alias("stem"), "source_file")
-    return s.groupBy("stem").agg(F.min_by("source_file", F.struct(F.octet_length("source_file"), "source_file")).alias("path"))
-
-
-def resolved(notes: DataFrame) -> DataFrame:
-    """Of each whole stem the path of fewest bytes, then the least."""
-    s = notes.select(F.regexp_extract("source_file", "([^/]+)[.]md$", 1).alias("stem"), "source_file")
-    return s.groupBy("stem").agg(F.min_by("source_file", F.struct(F.octet_length("source_file"), "source_file")).alias("path"))
-
-
-@query("link_resolve_all")
-def link_resolve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``link_resolve``, by whole stems; every third note has a copy in a folder ``old``. It has no SQL."""
+    """What a link to each stem means, where some notes have copies in other folders."""
     n = views.notes(spark, sf_dir).select("source_file", "doc_id")
-    return resolved(n.select("source_file").union(n.filter("doc_id % 3 = 0").select(F.concat(F.lit("old/"), "source_file"))))
+    copies = [("old/", "doc_id % 3 = 0"), ("a/", "doc_id % 5 = 0"), ("b/", "doc_id % 5 = 0 AND doc_id % 3 <> 0")]
+    every = n.select("source_file")
+    for folder, which in copies:
+        every = every.union(n.filter(which).select(F.concat(F.lit(folder), "source_file")))
+    return vault.by_stem(every, "source_file").select("stem", F.col("dst").alias("path"))
 
 
 @query(

@@ -13,9 +13,8 @@ _L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2]))"
 
 
-def _vector(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[tuple[int, list[float]]]:
-    rows = views.chunks(spark, sf_dir).filter(F.col("vec_id").isin(ids)).select("vec_id", "vector").collect()
-    return sorted((r.vec_id, r.vector) for r in rows)
+def _vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return views.chunks(spark, sf_dir).filter("vec_id = 0").first().vector
 
 
 @query(
@@ -26,24 +25,30 @@ def _vector(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[tuple[int,
     """,
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (_, v), *_ = _vector(spark, sf_dir, [0])
-    return vectors.topk(views.chunks(spark, sf_dir), vectors.literal(v), 10).select("vec_id", F.round("distance", 6).alias("dist"))
+    return vectors.topk(views.chunks(spark, sf_dir), vectors.literal(_vector(spark, sf_dir)), 10).select("vec_id", F.round("distance", 6).alias("dist"))
 
 
 @query(
     "multi_vector_topk",
     f"""
     WITH c AS ({views.CHUNKS_SQL}),
-    d AS (SELECT q.vec_id AS query_index, c.vec_id, {_L2.format(a="c.vector", b="q.vector")} AS d FROM c, c q WHERE q.vec_id < 5),
+    d AS (SELECT q.vec_id AS query_index, c.vec_id, {_L2.format(a="c.vector", b="q.vector")} AS d FROM c, c q WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY round(d, 9), vec_id) AS rank FROM d)
     SELECT query_index, vec_id, round(d, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
     """,
 )
 def multi_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = vectors.multi_topk(views.chunks(spark, sf_dir), _vector(spark, sf_dir, list(range(5))), 5)
+    c = views.chunks(spark, sf_dir)
+    found = vectors.nearest(c.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_index"), c, 5)
     return found.select("query_index", "vec_id", F.round("distance", 6).alias("dist"), "rank")
 
 
+@query("query_hit_counts", f"WITH c AS ({views.CHUNKS_SQL}), d AS (SELECT q.vec_id AS query_index, row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS r FROM c, c q WHERE q.vec_id % 100 = 0) SELECT query_index, count(*) AS hits FROM d WHERE r <= 7 GROUP BY query_index")
+def query_hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.chunks(spark, sf_dir)
+    return similar.hit_counts(vectors.nearest(c.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_index"), c, 7))
+
+
 _KNN = f"""
     c AS ({views.CHUNKS_SQL}),
     s AS (SELECT a.vec_id AS i, b.vec_id AS j, {_DOT.format(a="a.vector", b="b.vector")} AS sim FROM c a, c b WHERE a.vec_id <> b.vec_id),
@@ -61,13 +66,14 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH c AS ({views.CHUNKS_SQL}), s AS (SELECT vec_id, list_transform(vector, lambda x: x * (1 + vec_id % 3)) AS v FROM c),
     n AS (SELECT vec_id, v, sqrt({_DOT.format(a="v", b="v")}) AS norm FROM s)
-    SELECT vec_id, round(CASE WHEN abs(norm - 1) > 0.001 THEN v[1] / norm ELSE v[1] END, 6) AS first, round(norm, 6) AS norm FROM n WHERE norm > 1e-12
+    SELECT vec_id, CAST(unnest(range(0, len(v))) AS INTEGER) AS place, round(unnest(list_transform(v, lambda x: CASE WHEN abs(norm - 1) > 0.001 THEN x / norm ELSE x END)), 6) AS value, round(norm, 6) AS norm FROM n WHERE norm > 1e-12
     """,
 )
 def embedding_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.chunks(spark, sf_dir).withColumn("v", F.transform("vector", lambda x: x * (F.col("vec_id") % 3 + 1)))
     c = c.select("vec_id", vectors.normalized(F.col("v")).alias("unit"), F.sqrt(vectors.dot(F.col("v"), F.col("v"))).alias("norm"))
-    return c.filter("unit IS NOT NULL").select("vec_id", F.round(F.get("unit", F.lit(0)), 6).alias("first"), F.round("norm", 6).alias("norm"))
+    c = c.filter("unit IS NOT NULL").select("vec_id", F.posexplode("unit").alias("place", "value"), "norm")
+    return c.select("vec_id", "place", F.round("value", 6).alias("value"), F.round("norm", 6).alias("norm"))
 
 
 def _similar_sql(fold: str, threshold: float, excluded: str = "") -> str:
@@ -84,7 +90,7 @@ def _similar_sql(fold: str, threshold: float, excluded: str = "") -> str:
 
 
 def _similar(found: DataFrame) -> DataFrame:
-    top = found.orderBy(F.round("similarity", 9).desc(), "note_path").limit(20)
+    top = similar.ordered(found, "similarity", 20)
     return top.select("note_path", *(F.round(c, 6).alias(c) for c in ("similarity", "least", "mean")), "matched", "best_chunk")
 
 
@@ -144,23 +150,14 @@ def bridges_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bridges(similar.bridges(views.chunks(spark, sf_dir), views.links(spark, sf_dir), k=8, min_similarity=0.25, folder="f1/"))
 
 
-@query("link_distance", f"WITH RECURSIVE {_BFS.format(start='n, n', source='FROM (SELECT DISTINCT vec_id // 4 AS n FROM embeddings WHERE vec_id < 160)', depth=4)} SELECT src, node, CAST(distance AS INTEGER) AS distance FROM dist")
+@query("link_distance", f"WITH RECURSIVE {_BFS.format(start='n, n', source='FROM (SELECT DISTINCT vec_id // 4 AS n FROM embeddings)', depth=4)} SELECT src, node, CAST(distance AS INTEGER) AS distance FROM dist")
 def link_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = views.chunks(spark, sf_dir).filter("vec_id < 160").select(F.col("note_id").alias("node"))
-    return graph.distances(views.links(spark, sf_dir), sources, 4)
-
-
-@query("link_distance_all")
-def link_distance_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``link_distance``, from every note; it has no SQL."""
-    sources = views.chunks(spark, sf_dir).select(F.col("note_id").alias("node"))
-    return graph.distances(views.links(spark, sf_dir), sources, 4)
+    return graph.distances(views.links(spark, sf_dir), views.chunks(spark, sf_dir).select(F.col("note_id").alias("node")), 4)
 
 
-@query("backlinks", f"WITH links AS ({views.LINKS_SQL}) SELECT dst AS note_id, string_agg(DISTINCT CAST(src AS VARCHAR), ',' ORDER BY CAST(src AS VARCHAR)) AS sources FROM links GROUP BY dst")
+@query("backlinks", f"WITH links AS ({views.LINKS_SQL}) SELECT DISTINCT dst AS note_id, src AS source FROM links")
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = graph.backlinks(views.links(spark, sf_dir).selectExpr("cast(src as string) as src", "dst"))
-    return b.select(F.col("dst").alias("note_id"), F.array_join("sources", ",").alias("sources"))
+    return graph.backlinks(views.links(spark, sf_dir)).toDF("note_id", "source")
 
 
 _DEGREE = f"links AS ({views.LINKS_SQL}), e AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links), deg AS (SELECT src AS node, count(*) AS degree FROM e GROUP BY src)"

@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -44,7 +45,8 @@ def same_rows():
 
     def rows(frame):
         names = sorted(frame.columns)
-        return names, sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in frame[names].itertuples(index=False))
+        shown = lambda v: "" if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v) else str(v)
+        return names, sorted(tuple(map(shown, r)) for r in frame[names].itertuples(index=False))
 
     def check(frame, relation):
         assert rows(frame.toPandas()) == rows(relation.df())
