@@ -13,6 +13,8 @@ from lumengraph.plans.notes import _BM25, _index
 from lumengraph.plans.vectors import _DEGREE, _DOT, _KNN, _L2, _similar_sql, _vector
 from lumengraph.sources import scratch, views
 
+#: The note that trees start at.
+_ROOT = 2
 _NEXT = f"""{_DEGREE}, w AS (SELECT src AS node, dst AS neighbour, 'out' AS way FROM links UNION ALL SELECT dst, src, 'in' FROM links),
     g AS (SELECT node, neighbour, CASE WHEN min(way) = max(way) THEN min(way) ELSE 'both' END AS directions FROM w GROUP BY node, neighbour),
     ne AS (SELECT g.node AS above, neighbour AS node, directions, degree, row_number() OVER (PARTITION BY g.node ORDER BY degree DESC, neighbour) AS place FROM g JOIN deg ON g.neighbour = deg.node)"""
@@ -21,7 +23,7 @@ _NEXT = f"""{_DEGREE}, w AS (SELECT src AS node, dst AS neighbour, 'out' AS way
 def _tree_sql(depth: int, limit: int, where: str = "true") -> str:
     return f"""
     WITH RECURSIVE {_NEXT},
-    t AS (SELECT '' AS key, CAST(4 AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, [CAST(4 AS BIGINT)] AS line, CAST(NULL AS VARCHAR) AS directions, false AS cycle
+    t AS (SELECT '' AS key, CAST({_ROOT} AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, [CAST({_ROOT} AS BIGINT)] AS line, CAST(NULL AS VARCHAR) AS directions, false AS cycle
           UNION ALL SELECT t.key || lpad(CAST(place AS VARCHAR), 9, '0'), e.node, t.depth + 1, t.node, list_append(t.line, e.node), e.directions, list_contains(t.line, e.node)
           FROM t JOIN ne AS e ON e.above = t.node WHERE NOT t.cycle AND t.depth < {depth} AND {where})
     SELECT CAST(row_number() OVER (ORDER BY depth, key) AS INTEGER) AS rank, t.node, depth, parent, coalesce(deg.degree, 0) AS degree, directions, cycle
@@ -35,27 +37,27 @@ def _tree(found: DataFrame) -> DataFrame:
 
 @query("explore_cycles", _tree_sql(9, 100_000))
 def explore_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All paths of nine links from note 4; a note that a path comes back to is shown as a cycle."""
-    return _tree(graph.explore_tree(views.links(spark, sf_dir), 4, 9, dedup=False))
+    """All paths of nine links from one note; a note that a path comes back to is shown as a cycle."""
+    return _tree(graph.explore_tree(views.links(spark, sf_dir), _ROOT, 9, dedup=False))
 
 
 @query("explore_limited", _tree_sql(8, 5))
 def explore_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(graph.explore_tree(views.links(spark, sf_dir), 4, 8, 5, dedup=False))
+    return _tree(graph.explore_tree(views.links(spark, sf_dir), _ROOT, 8, 5, dedup=False))
 
 
 @query("explore_traverse", _tree_sql(9, 100_000, "e.node % 7 <> 0"))
 def explore_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only notes that a filter lets through are passed."""
     fits = views.chunks(spark, sf_dir).select(F.col("note_id").alias("node")).filter("node % 7 <> 0")
-    return _tree(graph.explore_tree(views.links(spark, sf_dir), 4, 9, dedup=False, matching=fits, traverse=True))
+    return _tree(graph.explore_tree(views.links(spark, sf_dir), _ROOT, 9, dedup=False, matching=fits, traverse=True))
 
 
 @query(
     "explore_context",
     f"""
     WITH RECURSIVE {_NEXT}, s AS (SELECT src, dst, 'Part ' || CAST(dst % 4 AS VARCHAR) AS section FROM links WHERE dst % 4 > 0),
-    t AS (SELECT '' AS key, CAST(4 AS BIGINT) AS node, 0 AS depth, [CAST(4 AS BIGINT)] AS line, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, false AS cycle
+    t AS (SELECT '' AS key, CAST({_ROOT} AS BIGINT) AS node, 0 AS depth, [CAST({_ROOT} AS BIGINT)] AS line, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, false AS cycle
           UNION ALL SELECT t.key || lpad(CAST(place AS VARCHAR), 9, '0'), e.node, t.depth + 1, list_append(t.line, e.node), CASE WHEN e.directions = 'in' THEN e.node ELSE t.node END, CASE WHEN e.directions = 'in' THEN t.node ELSE e.node END, list_contains(t.line, e.node)
           FROM t JOIN ne AS e ON e.above = t.node WHERE NOT t.cycle AND t.depth < 7)
     SELECT CAST(row_number() OVER (ORDER BY depth, key) AS INTEGER) AS rank, CAST(node AS VARCHAR) AS node, section FROM t LEFT JOIN s ON t.src = s.src AND t.dst = s.dst
@@ -68,7 +70,7 @@ def explore_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.groupBy("note_path", "chunk_index").agg(F.collect_set("dst").alias("targets"))
     crumb = F.when(F.col("chunk_index") == 0, F.col("note_path")).otherwise(F.concat("note_path", F.lit(" > Top > Part "), F.col("chunk_index").cast("string")))
     sections = graph.link_sections(c.withColumn("breadcrumb", crumb)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "section")
-    found = graph.explore_tree(links, 4, 7, dedup=False, sections=sections)
+    found = graph.explore_tree(links, _ROOT, 7, dedup=False, sections=sections)
     return found.select("rank", F.col("node").cast("string").alias("node"), "section")
 
 
