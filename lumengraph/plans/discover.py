@@ -46,10 +46,10 @@ def explore_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(graph.explore_tree(views.links(spark, sf_dir), _ROOT, 8, 5, dedup=False))
 
 
-@query("explore_traverse", _tree_sql(9, 100_000, "e.node % 7 <> 0"))
+@query("explore_traverse", _tree_sql(9, 100_000, "e.node % 21 <> 0"))
 def explore_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only notes that a filter lets through are passed."""
-    fits = views.chunks(spark, sf_dir).select(F.col("note_id").alias("node")).filter("node % 7 <> 0")
+    fits = views.chunks(spark, sf_dir).select(F.col("note_id").alias("node")).filter("node % 21 <> 0")
     return _tree(graph.explore_tree(views.links(spark, sf_dir), _ROOT, 9, dedup=False, matching=fits, traverse=True))
 
 
