@@ -35,15 +35,15 @@ SPELLINGS = {
     "per cent": "percent",
     "judgement": "judgment",
     "http://": "https://",
-    "version 2.0": "version 2",
-    "version 3.0": "version 3",
     "&": "and",
     "©": "(c)",
 }
+#: Versions 2.0 and 3.0 are 2 and 3, but not as the start of a longer number.
+VERSION = "version ([23])[.]0([^0-9.]|$|[.][^0-9]|[.]$)"
 #: Everything in ASCII but letters, digits and line ends, and typographic marks.
 PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F‘’“”–—® ]+"
 #: The rule that the SQL has.
-_SQL_NOTICE = "^ ?(copyright )?(c )?[0-9]{4} |^ ?copyright (c )?[0-9]{4}|^ ?all rights reserved ?$"
+_SQL_NOTICE = "^ ?c [0-9]{4} |^ ?copyright (c )?[0-9]{4}|^ ?all rights reserved ?$"
 #: Words after "copyright" at the head of a line that is wrapped text of a licence, not a notice.
 _PROSE = "notices?|holders?|owners?|laws?|license[sd]?|licenses?|interests?|statements?|disclaimers?|status|treat(y|ies)|protection|infringement|permission|works?|rights?|claims?|act|acts|grants?|and|or|in|on|to|of|is|are|was|as|for|which|with|without|this|that|these|any|applies|applicable|may|shall|will|can|if|it|from|under|information|like|the (software|program|library|work|covered|original)"
 NOTICE = f"{_SQL_NOTICE}|^ ?c copyright( |$)|^ ?copyright( c( .*)?)? ?$|^ ?copyright (?!c |({_PROSE})( |$))"
@@ -144,7 +144,7 @@ def canonical_lines(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for a, b in SPELLINGS.items():
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, PUNCTUATION, " ")
+    t = F.regexp_replace(F.regexp_replace(t, VERSION, "version $1$2"), PUNCTUATION, " ")
     lines = F.transform(F.filter(F.split(t, "\n"), lambda x: ~x.rlike(NOTICE)), lambda x: F.trim(x))
     return F.filter(lines, lambda x: x != "")
 
@@ -194,7 +194,7 @@ def oracle() -> str:
     form = f"translate(text, '{UPPER}', '{LOWER}')"
     for a, b in SPELLINGS.items():
         form = f"replace({form}, {_quoted(a)}, {_quoted(b)})"
-    form = f"regexp_replace({form}, '{PUNCTUATION}', ' ', 'g')"
+    form = f"regexp_replace(regexp_replace({form}, '{VERSION}', 'version \\1\\2', 'g'), '{PUNCTUATION}', ' ', 'g')"
     values = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in _SQL_KNOWN.items())
 
     def lines(source: str) -> str:

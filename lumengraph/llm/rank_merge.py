@@ -2,7 +2,8 @@
 
 All pre-tokens of a batch lie in one flat symbol array. Each round finds every sequence's lowest-rank pair and
 merges all its occurrences, left to right without overlap, in all sequences at once. A pair that holds a merged
-symbol always ranks after the pair that made the symbol, so this gives what merging one pair at a time gives.
+symbol always ranks after the pair that made the symbol (checked when a file is read), so this gives what merging one
+pair at a time gives.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ class RankMerger:
         made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         if len(set(made.tolist())) != len(made) or len(np.unique(keys)) != len(keys):
             raise ValueError("a symbol made by two merges needs merging one pair at a time")
+        born = np.full(1 << 16, -1)
+        born[made] = np.arange(len(made))
+        if (np.maximum(born[(keys >> np.uint64(16)).astype(np.int64)], born[(keys & np.uint64(0xFFFF)).astype(np.int64)]) >= np.arange(len(keys))).any():
+            raise ValueError("a pair that ranks before one of its symbols is made needs merging one pair at a time")
         self.keys, self.made = keys, np.append(made, 0)
         order = np.argsort(keys)
         self.sorted_keys, self.sorted_ranks = keys[order], order.astype(np.int32)

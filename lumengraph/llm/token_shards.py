@@ -34,7 +34,7 @@ CACHE = 600_000
 #: A shard is closed at this size.
 SHARD_BYTES = 128 << 20
 END_ID = 1
-MANIFEST = "part int, seq int, path string, bytes long, docs long, tokens long"
+MANIFEST = "part int, seq int, path string, bytes long, docs long, tokens long, first binary, last binary"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _PLAIN = re.compile(r"[A-Za-z]+\Z")
 # Letters whose lower case has context or several characters, and controls that only Python splits at.
@@ -103,8 +103,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, str]:
-    """Encode and write all documents; the manifest (part, seq, path, bytes, docs, tokens, and offset: tokens before the shard), and the folder."""
+def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
+    """Encode and write all documents; the manifest (part, seq, path, bytes, docs, tokens, first and last key, and offset: tokens before the shard), and the folder."""
     spark = docs.sparkSession
     folder = common.uri(common.scratch(spark, "token-shards"))
     end = end_id.to_bytes(4, "little")
@@ -119,18 +119,18 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
             nbytes = out.close()
             out.file.close()
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [name], "bytes": [nbytes], "docs": [out.entries], "tokens": [tokens]}
+                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [name], "bytes": [nbytes], "docs": [out.entries], "tokens": [tokens], "first": [first], "last": [out.last]}
             )
 
         for b in common.slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if out is None:
                     name = f"{root}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.sst"
-                    out, tokens = sstable.Writer(store.open_output_stream(name), tag=enc.width), 0
+                    out, tokens, first = sstable.Writer(store.open_output_stream(name), tag=enc.width), 0, sstable.key_of(doc_id)
                 ids = enc.encode(text or "") + end
                 tokens += len(ids) // 4
                 out.add(sstable.key_of(doc_id), np.frombuffer(ids, "<u4").astype("<u2").tobytes() if enc.width == 2 else ids)
-                if out.offset >= SHARD_BYTES:
+                if out.offset + out.size >= shard_bytes:
                     yield close()
                     out, seq = None, seq + 1
         if out is not None:
@@ -174,14 +174,27 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, folder: str, doc_ids: list[int | None]) -> dict[int | None, list[bytes]]:
-    """Values of a few ids, by Bloom filter and binary search in each shard (point reads; for whole tables use read_shards)."""
-    store, _ = fs.FileSystem.from_uri(folder)
+    """Values of a few ids: in the shards whose keys reach around them, by Bloom filter and binary search (point reads; for whole
+    tables use read_shards)."""
+    asked = manifest.sparkSession.createDataFrame([(i, bytearray(sstable.key_of(i))) for i in dict.fromkeys(doc_ids)], "doc_id long, key binary")
+    near = manifest.join(F.broadcast(asked), F.col("key").between(F.col("first"), F.col("last"))).select("part", "seq", "path", "bytes", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                with store.open_input_file(r["path"]) as f:
+                    t = sstable.Reader(f, r["bytes"])
+                    rows += [(r["part"], r["seq"], r["doc_id"], k, ids32(v, t.tag)) for k, v in enumerate(t.get(sstable.key_of(r["doc_id"])))]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "seq", "doc_id", "place", "ids"])
+
+    found = near.mapInArrow(run, "part int, seq int, doc_id long, place int, ids binary").collect()  # values of the asked ids
     out: dict[int | None, list[bytes]] = {i: [] for i in doc_ids}
-    for row in manifest.select("path", "bytes").toLocalIterator():
-        with store.open_input_file(row["path"]) as f:
-            r = sstable.Reader(f, row["bytes"])
-            for i in out:
-                out[i] += [ids32(v, r.tag) for v in r.get(sstable.key_of(i))]
+    for r in sorted(found, key=lambda r: (r.part, r.seq, r.place)):
+        out[r.doc_id].append(bytes(r.ids))
     return out
 
 

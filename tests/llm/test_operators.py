@@ -77,6 +77,21 @@ def test_sorted_string_table(tmp_path):
         assert [sstable.id_of(k) for k, _ in r.scan()][:4] == [None, -5, 3, 3]
 
 
+def test_op1_lookup(spark, folder, rows):
+    from tokenizers import Tokenizer
+
+    from lumengraph.llm import token_shards
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    manifest, where = token_shards.write_shards(spark.read.parquet(f"{folder}/documents.parquet"), path, shard_bytes=1500)
+    assert manifest.count() > 2
+    asked = [None, rows[20][0], rows[3][0], rows[40][0], 1, 10**9]
+    got = token_shards.lookup(manifest, where, asked)
+    want = {i: sorted(np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r in rows if r[0] == i) for i in asked}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(got[rows[20][0]]) == 3
+
+
 def test_op2_library_ids(spark, folder, rows):
     import sentencepiece
 
@@ -185,6 +200,18 @@ def test_op3_more_licences_and_notices(spark):
     assert [x[1] for x in got[-4:]] == [f"{x} (notice)" for x in ("BSD-3-Clause", "CC-BY-SA-4.0", "GPL-2.0", "MPL-2.0")]
 
 
+def test_op3_lines_that_are_no_notices(spark):
+    from pyspark.sql import functions as F
+
+    from lumengraph.llm import licenses
+
+    own = [("1000 users signed up\n2019 was a warm year\nCopyright Jane Doe 2020\n(c) 2020 X\nversion 2.0 and version 2.0.1, version 3.0.",), (None,)]
+    got = spark.createDataFrame(own, "t string").select(licenses.canonical_lines(F.col("t")).alias("x")).collect()
+    assert got[0].x == ["1000 users signed up", "2019 was a warm year", "version 2 and version 2 0 1 version 3"] and got[1].x == []
+    ids = spark.createDataFrame([(1, licenses.KNOWN["MIT"]), (1, None), (None, licenses.KNOWN["ISC"]), (1, licenses.KNOWN["MIT"])], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.license or "") for r in licenses.scan(ids).collect()) == [(0, "ISC"), (1, ""), (1, "MIT"), (1, "MIT")]
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -356,34 +383,57 @@ def test_op7_held_out_accuracy(spark):
     assert toxicity.score(docs, toxicity.FactorizationMachine()).columns == ["doc_id", "text", "score", "predicted"]
 
 
-def test_op8_sketches(spark, folder, rows):
+def sketched(t, k=128):
+    """Fingerprint by loops: the least hashes of five successive words."""
+
     def hashed(v, seed):
         return xxhash.xxh64_intdigest((v & (2**64 - 1)).to_bytes(8, "little"), seed=seed)
 
-    def fingerprint(t):
-        w = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in re.findall(r"[^\x20\x09-\x0D]+", t.lower())]
-        out = set()
-        for i in range(max(1, len(w) - 4)):
-            h = 42 if len(w) >= 5 else hashed(42, 42)
-            h = 42
-            for x in w[i : i + 5]:
-                h = hashed(x, h if len(w) >= 5 else hashed(h, 42))
-            out.add(h - 2**64 if h >= 2**63 else h)
-        return "".join(f"{v & (2**64 - 1):016X}" for v in sorted(out if w else [])[:128])
+    w = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in re.findall(r"[^\x20\x09-\x0D]+", t.lower())]
+    out = set()
+    for i in range(max(1, len(w) - 4)):
+        h = 42
+        for x in w[i : i + 5]:
+            h = hashed(x, h if len(w) >= 5 else hashed(h, 42))
+        out.add(h - 2**64 if h >= 2**63 else h)
+    return sorted(out if w else [])[:k]
+
+
+def likeness(a, b, k=128):
+    both = sorted(set(a) | set(b))[:k]
+    return len(set(both) & set(a) & set(b)) / len(both) if a and b else float(not a and not b)
 
+
+def test_op8_sketches(spark, folder, rows):
+    """Every row: the last is followed by the first, null ids come last, rows of one id in any order of their own."""
     got = registry.QUERIES["op8_fingerprints"](spark, folder).collect()
-    assert len(got) == len(rows)
-    once = {r[0]: r[1] or "" for r in rows if r[0] is not None}
-    ids = sorted(once)
-    for r in got:
-        if r.doc_id is None or r.doc_id == rows[20][0] or r.doc_id == ids[-1]:
-            continue
-        t, n = once[r.doc_id], once[ids[ids.index(r.doc_id) + 1]]
+    order = sorted((r[0] is None, r[0] or 0, r[1] or "") for r in rows)
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == Counter(x[:2] for x in order)
+    want = Counter()
+    for (null, i, t), (_, _, n) in zip(order, order[1:] + order[:1], strict=True):
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint(t), fingerprint(e))
-        a, b = shingles(t.lower()), shingles(n.lower())
-        assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=0.25)
+        a, b, c = sketched(t), sketched(e), sketched(n)
+        text = lambda s: "".join(f"{v & (2**64 - 1):016X}" for v in s)
+        want[(None if null else i, len(t), hashlib.sha256(e.encode()).hexdigest(), text(a), text(b), round(likeness(a, b), 9), round(likeness(a, c), 9))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
+def test_op8_estimates(spark):
+    """Parts merge into the whole; resemblance, containment and counts come near the truth."""
+    from pyspark.sql import functions as F
+
+    from lumengraph.llm import fingerprints as fp
+
+    words = [f"w{i}" for i in range(3000)]
+    a, b = " ".join(words[:2000]), " ".join(words[1000:])
+    d = spark.createDataFrame([(a, b, " ".join(words))], "a string, b string, whole string")
+    x, y = fp.sketch(F.col("a")), fp.sketch(F.col("b"))
+    r = d.select(
+        (fp.merge(x, y) == fp.sketch(F.col("whole"))).alias("same"), fp.resemblance(x, y).alias("r"), fp.containment(x, fp.sketch(F.col("whole"))).alias("c"), fp.distinct_count(x).alias("n"),
+        fp.distinct_count(fp.sketch(F.lit("a b c d e f"))).alias("few"), fp.containment(fp.sketch(F.lit("")), x).alias("none"), fp.containment(x, fp.sketch(F.lit(""))).alias("nothing"),
+    ).first()
+    assert r.same and abs(r.r - 1 / 3) < 0.13 and r.c == 1.0 and abs(r.n - 1996) < 500 and (r.few, r.none, r.nothing) == (2.0, 1.0, 0.0)
 
 
 def test_op9_payloads(spark, folder, rows):
@@ -404,6 +454,104 @@ def test_op9_any_bytes():
         assert jpeg.payload(image, jpeg.coefficients([image])[0]) == p
 
 
+class Bits:
+    """A scan's bits, with a zero byte after each of 255."""
+
+    def __init__(self):
+        self.text = ""
+
+    def code(self, n, size):
+        self.text += f"{n:0{size}b}" if size else ""
+
+    def value(self, v):
+        size = abs(v).bit_length()
+        self.code(v if v >= 0 else v + (1 << size) - 1, size)
+
+    def bytes(self):
+        self.text += "1" * (-len(self.text) % 8)
+        return bytes(int(self.text[i : i + 8], 2) for i in range(0, len(self.text), 8)).replace(b"\xff", b"\xff\x00")
+
+
+@pytest.mark.parametrize("interval", [0, 2])
+def test_op9_files_of_other_writers(interval):
+    """A file with quantisers, two by two luminance blocks to a unit, runs of zeros and ends of blocks, and several tables."""
+    import struct
+
+    rng = np.random.default_rng(4)
+    across, down = 3, 2
+    dc_symbols, ac_symbols = list(range(12)), [r << 4 | s for r in range(16) for s in range(1, 11)] + [0x00, 0xF0]
+    dc = {s: (i, 4) for i, s in enumerate(dc_symbols)}
+    ac = {s: (i, 8) for i, s in enumerate(ac_symbols)}
+    blocks = np.zeros((across * down * 6, 64), int)
+    for b in blocks:
+        b[0] = rng.integers(-400, 400)
+        at = rng.choice(np.arange(1, 64), rng.integers(0, 6), replace=False)
+        b[at] = rng.integers(1, 200, len(at)) * rng.choice([-1, 1], len(at))
+    blocks[3, 1:] = 0
+    blocks[4, 1:63], blocks[4, 63] = 0, 7  # three runs of sixteen zeros, and no end of block
+    scan, bits, before = b"", Bits(), [0, 0, 0]
+    for unit in range(across * down):
+        if interval and unit and unit % interval == 0:
+            scan += bits.bytes() + bytes([0xFF, 0xD0 + (unit // interval - 1) % 8])
+            bits, before = Bits(), [0, 0, 0]
+        for k in range(6):
+            b, part = blocks[unit * 6 + k], max(0, k - 3)
+            step = int(b[0]) - before[part]
+            before[part] = int(b[0])
+            bits.code(*dc[abs(step).bit_length()])
+            bits.value(step)
+            run = 0
+            for v in b[1:].tolist():
+                if v == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits.code(*ac[0xF0])
+                    run -= 16
+                bits.code(*ac[run << 4 | abs(v).bit_length()])
+                bits.value(v)
+                run = 0
+            if run:
+                bits.code(*ac[0])
+    scan += bits.bytes()
+
+    def segment(marker, body):
+        return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+
+    counts = lambda size, n: bytes(n if i == size else 0 for i in range(1, 17))
+    quant = bytes(range(2, 66)), bytes([9] * 64)
+    data = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, b"\0" + quant[0] + b"\1" + quant[1])
+    data += segment(0xC0, struct.pack(">BHHB", 8, 16 * down - 5, 16 * across - 9, 3) + bytes([1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1]))
+    data += segment(0xC4, b"\x00" + counts(4, 12) + bytes(dc_symbols) + b"\x10" + counts(8, len(ac)) + bytes(ac_symbols))
+    data += segment(0xC4, b"\x01" + counts(4, 12) + bytes(dc_symbols)) + segment(0xC4, b"\x11" + counts(8, len(ac)) + bytes(ac_symbols))
+    data += (segment(0xDD, struct.pack(">H", interval)) if interval else b"") + segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + scan + b"\xff\xd9"
+    image = jpeg.parse(data)
+    assert (image.width, image.height, image.units) == (39, 27, (3, 2))
+    found = jpeg.coefficients([image])[0]
+    assert np.array_equal(found, blocks)
+    light = jpeg.luminance(image, found)
+    want = np.zeros((2 * down, 2 * across))
+    for unit in range(across * down):
+        for k in range(4):
+            want[unit // across * 2 + k // 2, unit % across * 2 + k % 2] = min(255, max(0, blocks[unit * 6 + k, 0] * 2 / 8 + 128))
+    assert np.allclose(light, want)
+    mean, step = jpeg.thumbnail_hashes(light)
+    assert len(mean) == len(step) == 16
+
+
+def test_op9_features(spark, folder, rows):
+    """The feature is the stored image's size and its thumbnail's hashes, from a plain thumbnail of mean luminance."""
+    got = by_row(registry.QUERIES["op9_media_columns"](spark, folder))
+    for k, own in texts(rows).items():
+        feats = set()
+        for t in own:
+            image = jpeg.parse(jpeg.encode((t.encode()).ljust(max(1, -(-len(t.encode()) // 192)) * 192)))
+            c = jpeg.coefficients([image])[0]
+            grid = np.array([[min(255.0, max(0.0, c[(y * image.units[0] + x) * 3, 0] / 8 + 128)) for x in range(image.units[0])] for y in range(image.units[1])])
+            feats.add(f"{image.width}x{image.height}:" + ":".join(jpeg.thumbnail_hashes(grid)))
+        assert {r.feature for r in got[k]} == feats
+
+
 def test_op10_repeats(spark, folder, rows):
     raw = [(r[1] or "").encode() for r in rows]
     seen = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
@@ -417,3 +565,13 @@ def test_op10_repeats(spark, folder, rows):
         want[(r[0], len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())] += 1
     got = registry.QUERIES["op10_suffix_dedup"](spark, folder).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_op10_windows_that_share_a_hash(monkeypatch):
+    """What only has another window's hash isn't removed: with one hash for all windows of a bucket, results stay."""
+    from lumengraph.llm import suffix_dedup
+
+    keys = [bytes([65 + i % 3]) * 60 + bytes([97 + i]) * (suffix_dedup.KEY - 60) for i in range(9)]
+    bucket = suffix_dedup.Bucket(keys, [0] * 9, [5] * 9, [b"\0" * 16] * 9)
+    monkeypatch.setattr(suffix_dedup.xxhash, "xxh3_64_intdigest", lambda b: 7)
+    assert not any(flags.any() for _, flags, _ in bucket.resolve())
