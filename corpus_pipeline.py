@@ -4,6 +4,9 @@ toxicity: documents that the classifier rejects go. jaccard_join: of each group
 stays. suffix_dedup: passages of 400 bytes that repeat are cut out of texts. mixing: each document comes as often as the mix
 of sources takes of it, none, once or twice; the one at a source's budget is kept whole. sentencepieces: token ids.
 
+Decisions are joined to the texts by sort and merge at every size: a plan that broadcasts them where they are few moves no text
+there, and would hide what larger tables move.
+
 A stage gets the rows that its predecessor kept. Rows are told apart by their place in the table, so that null and repeated
 ids are carried; further columns are kept up to the last stage; an empty table gives an empty result."""
 
@@ -36,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard_join.linked(docs)
     first = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "uid")).alias("first"))
     kept = common.write_table(first.select(F.col("first.uid").alias(uid)), "kept")
-    return docs.withColumn(uid, common.row_ids(docs)).join(kept, uid, "left_semi").select(*docs.columns)
+    return docs.withColumn(uid, common.row_ids(docs)).join(kept.hint("merge"), uid, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, (uid, kept) = common.stored(docs), _free(docs, "uid", "kept")
     found = suffix_dedup.dedup(docs, texts=True).filter("kept IS NOT NULL").select(F.col("uid").alias(uid), F.col("kept").cast("string").alias(kept))
     found = common.write_table(found, "kept-texts", compression="zstd")
-    out = docs.withColumn(uid, common.row_ids(docs)).join(found, uid, "left").withColumn("text", F.coalesce(kept, "text"))
+    out = docs.withColumn(uid, common.row_ids(docs)).join(found.hint("merge"), uid, "left").withColumn("text", F.coalesce(kept, "text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -54,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs).filter("taken > 0").select(F.col("uid").alias(uid), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(copies))
     taken = common.write_table(taken, "taken")
     every = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(uid)
-    return docs.withColumn(uid, common.row_ids(docs)).join(taken, uid).select(*docs.columns, every).select(*docs.columns)
+    return docs.withColumn(uid, common.row_ids(docs)).join(taken.hint("merge"), uid).select(*docs.columns, every).select(*docs.columns)
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
