@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.functions import text
 from lumengraph.operators import fulltext, predicates, vectors
-from lumengraph.operators.filters import Request
+from lumengraph.operators.filters import Filters, Request
 
 #: Bytes of a note that a full-text hit shows, of a summary, and characters of a preview.
 SNIPPET, SUMMARY, PREVIEW = 500, 500, 200
@@ -25,10 +26,17 @@ def preview(content: Column) -> Column:
     return F.substring(content, 1, PREVIEW)
 
 
-def run(asked: Request, documents: DataFrame, chunks: DataFrame, embed: Callable[[str], Sequence[float]], index: fulltext.Index | None = None, key: str = "doc_id") -> DataFrame:
+def run(
+    asked: Request, documents: DataFrame, chunks: DataFrame, embed: Callable[[str], Sequence[float]], index: fulltext.Index | None = None, key: str = "doc_id", overfetch: int | None = None
+) -> DataFrame:
     """(key, score) of a search, or (key, last_modified) of a browse, oldest first. ``documents`` (key, source_file, tags,
-    last_modified, full_text), ``chunks`` (key, vec_id, vector). A vector hit's score is its note's least distance."""
+    last_modified, full_text), ``chunks`` (key, vec_id, vector). A vector hit's score is its distance. Filters come before the
+    ranking, so that as many hits return as there are; with ``overfetch`` they come after it, on so many times the limit."""
     able = asked.filters.of(documents)
+    if overfetch and asked.query is not None and asked.filters:
+        wide = replace(asked, filters=Filters(), limit=asked.limit * overfetch)
+        hits = run(wide, documents, chunks, embed, index, key).join(able.select(key), key, "left_semi")
+        return hits.orderBy("score" if asked.mode == "vector" else F.desc("score"), key).limit(asked.limit)
     if asked.query is None:
         return able.orderBy("last_modified", "source_file").limit(asked.limit).select(key, "last_modified")
     wide = 2 * asked.limit if asked.mode == "hybrid" else asked.limit

@@ -238,3 +238,16 @@ def search_empty_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = views.chunks(spark, sf_dir).withColumnRenamed("note_id", "doc_id")
     asked = Request("zzqqxx", "hybrid", _SEARCH.filters, 10)
     return search.run(asked, views.notes(spark, sf_dir), chunks, lambda q: _vector(spark, sf_dir), _index(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "search_overfetch",
+    f"""WITH {_BM25}, {_ABLE}, top3 AS (SELECT doc_id, 1 - (row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id) - 1) / 300.0::DOUBLE AS rank_score FROM bm ORDER BY round(bm25, 9) DESC, doc_id LIMIT 300)
+    SELECT doc_id, round(rank_score, 6) AS score FROM top3 WHERE doc_id IN (SELECT doc_id FROM able) ORDER BY top3.rank_score DESC, doc_id LIMIT 10""",
+)
+def search_overfetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters after the ranking of thirty times the limit: fewer hits may be left than there are."""
+    asked = Request(_SEARCH.query, "fts", _SEARCH.filters, _SEARCH.limit)
+    chunks = views.chunks(spark, sf_dir).withColumnRenamed("note_id", "doc_id")
+    found = search.run(asked, views.notes(spark, sf_dir), chunks, lambda q: [], _index(spark, sf_dir), overfetch=30)
+    return found.select("doc_id", F.round("score", 6).alias("score"))

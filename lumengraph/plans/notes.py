@@ -155,6 +155,25 @@ def documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.join(k, "doc_id", "left").select("source_file", "title", "last_modified", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
 
 
+@query("documents_total", f"WITH {_N} SELECT count(*) AS total FROM n WHERE strpos(lower(title), 'an') > 0 AND list_contains(tags, 'en')")
+def documents_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents the pages of ``documents_page`` have."""
+    return views.notes(spark, sf_dir).filter(F.contains(F.lower("title"), F.lit("an")) & F.array_contains("tags", "en")).agg(F.count("*").alias("total"))
+
+
+@query("list_tags_names", f"WITH {_N} SELECT DISTINCT tag FROM ({_TAGS})")
+def list_tags_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.notes(spark, sf_dir).select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
+
+
+@query("note_chunks", f"WITH c AS ({views.CHUNKS_SQL}) SELECT note_path, chunk_index, vec_id, 'part ' || CAST(chunk_index AS VARCHAR) || ' of ' || note_path AS content, CAST(len(vector) AS BIGINT) AS size FROM c WHERE note_path = 'f2/n7.md'")
+def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note's chunks in order, with what they hold."""
+    c = views.chunks(spark, sf_dir).filter("note_path = 'f2/n7.md'").orderBy("chunk_index")
+    content = F.concat(F.lit("part "), F.col("chunk_index").cast("string"), F.lit(" of "), "note_path")
+    return c.select("note_path", "chunk_index", "vec_id", content.alias("content"), F.size("vector").cast("long").alias("size"))
+
+
 @query("document_detail", f"WITH {_N}, c AS ({views.CHUNKS_SQL}) SELECT source_file, c.chunk_index, length(full_text) AS char_count, strlen(full_text) AS byte_count FROM n JOIN c ON n.doc_id = c.note_id WHERE doc_id = 3")
 def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.notes(spark, sf_dir).filter("doc_id = 3")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +78,18 @@ def watch(index: VaultIndex, checkpoint: str, seconds: float = 2) -> StreamingQu
         index.incremental()
 
     return ticks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def fan_out(stream: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
+    """Hand every micro-batch to several sinks, with its number; a sink that has had a batch must take it again without harm, as a batch
+    whose sinks didn't all end is run again."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for sink in sinks:
+                sink(batch, number)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -138,3 +138,11 @@ def test_watch_applies_differences(spark, tmp_path):
 def test_newest_of_each_key(spark):
     rows = spark.createDataFrame([("a", i) for i in range(200)] + [("b", 1)], "k string, n int")
     assert sorted(map(tuple, changes.newest(rows, "k", "n", 2).collect())) == [("a", 198, 2), ("a", 199, 1), ("b", 1, 1)]
+
+
+def test_every_sink_gets_every_batch(spark, tmp_path):
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = {}
+    sinks = [lambda b, n: got.setdefault("count", []).append(b.count()), lambda b, n: got.setdefault("sum", []).append(b.groupBy().sum("id").first()[0])]
+    refresh.fan_out(refresh.rows_of(spark, str(tmp_path / "in"), "id long"), sinks, str(tmp_path / "c")).awaitTermination(120)
+    assert got == {"count": [7], "sum": [21]}
