@@ -5,13 +5,14 @@ fewer has its whole sequence as one); its sketch holds the ``k`` smallest distin
 order. Sketches of parts merge into the sketch of the whole; two sketches estimate resemblance, containment and the
 number of distinct shingles.
 
-The query pairs each document with the next by id: documents are dealt into ranges of ids by sampled splitters, the
-first document of each range is also sent to the range before it (the very first to the last), and each range looks
-one row ahead. One shuffle of the texts; what the driver holds is a few splitters for each shuffle partition.
+The query pairs each document with the next by id: documents are dealt into ranges of (id, place in the files) by sampled
+splitters, the first document of each range is also sent to the range before it (the very first to the last), and each
+range looks one row ahead. One shuffle of the texts; what the driver holds is some numbers for each shuffle partition.
+As places split equal ids too, no id makes a range larger than others.
 
 Null texts count as empty, with an empty sketch; two empty sketches have likeness 1, an empty and another 0; a null id
-sorts last; rows with equal ids follow one another by text hash; further columns are ignored; an empty table gives an
-empty result. Only DataFrame functions.
+sorts last; rows with equal ids follow one another by their place in the files; further columns are ignored; an empty
+table gives an empty result. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from lumengraph.llm import common
 
 K, WORDS = 128, 5
-#: Ranges of ids for each shuffle partition.
-RANGES = 4
+#: Ranges for each shuffle partition, and rows that are sampled for each range.
+RANGES, SAMPLED = 4, 20
 _LAST = (1 << 63) - 1
 
 
@@ -79,40 +80,34 @@ def as_text(a: Column) -> Column:
 
 
 def with_next(d: DataFrame, carried: list[str], ranges: int) -> DataFrame:
-    """Adds next_<column> of the row that follows by ``at`` (then ``tie``), the first row's for the last."""
-    least, *cuts = _splitters(d, ranges)
-    if least is None:
+    """Adds next_<column> of the row that follows by (at, uid), which are distinct; the first row's for the last."""
+    firsts = _firsts(d, ranges)
+    if not firsts:
         return d.select("*", *(F.lit(None).cast(d.schema[c].dataType).alias(f"next_{c}") for c in carried))
-    firsts = [least, *cuts]
-    # two levels, so that a row passes few splitters though there are many
-    step = max(1, int(len(cuts) ** 0.5))
-    tops, groups = cuts[::step], [cuts[i : i + step] for i in range(0, len(cuts), step)]
-
-    def below(values: Column, x: Column) -> Column:
-        return F.size(F.filter(values, lambda s: s <= x))
-
-    def longs(values: list[int]) -> Column:
-        return F.array(*map(F.lit, values)).cast("array<long>")
-
-    if cuts:
-        table = F.array(*map(longs, groups))
-        top = below(longs(tops), F.col("at"))
-        place = F.when(top == 0, 0).otherwise((top - 1) * step + below(F.get(table, top - 1), F.col("at"))).cast("int")
-    else:
-        place = F.lit(0)
-    ahead = d.filter(F.col("at").isin(firsts)).groupBy("at").agg(F.min_by(F.struct(*[c for c in d.columns if c != "at"]), "tie").alias("r")).select("at", "r.*")
-    n = len(cuts) + 1
-    ahead = ahead.withColumn("range", F.when(F.col("at") == least, n - 1).otherwise(place - 1))
-    rows = d.withColumn("range", place).withColumn("halo", F.lit(False)).unionByName(ahead.withColumn("halo", F.lit(True)))
-    w = Window.partitionBy("range").orderBy("halo", "at", "tie")
+    n, spark, kind = len(firsts), d.sparkSession, "struct<at:bigint,uid:bigint>"
+    # two levels, so that a row passes few of them though there are many
+    step = max(1, int(n**0.5))
+    levels = spark.createDataFrame([(firsts[::step], [firsts[i : i + step] for i in range(0, n, step)])], f"tops array<{kind}>, groups array<array<{kind}>>")
+
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda s: s <= F.struct("at", "uid")))
+
+    top = upto(F.col("tops")) - 1
+    rows = d.join(F.broadcast(levels)).withColumn("range", top * step + upto(F.get("groups", top)) - 1).drop("tops", "groups")  # levels: one row
+    before = spark.createDataFrame([(at, uid, (i - 1) % n) for i, (at, uid) in enumerate(firsts)], "at long, uid long, range int")
+    ahead = d.join(F.broadcast(before), ["at", "uid"]).select(*d.columns, "range")  # a row for each range
+    rows = rows.withColumn("halo", F.lit(False)).unionByName(ahead.withColumn("halo", F.lit(True)))
+    w = Window.partitionBy("range").orderBy("halo", "at", "uid")
     return rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).filter(~F.col("halo")).drop("halo", "range")
 
 
-def _splitters(d: DataFrame, ranges: int) -> list[int | None]:
-    """The least ``at``, then greater sampled ones, ascending."""
-    shares = [i / ranges for i in range(1, ranges)] or [0.5]
-    least, cuts = d.select("at").agg(F.min("at"), F.percentile_approx("at", shares, max(10_000, 10 * ranges))).first()
-    return [least, *sorted({c for c in cuts or [] if c > least})]
+def _firsts(d: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """The first row of each range: the least (at, uid), and sampled ones, ascending; none of an empty table."""
+    keys = d.select("at", "uid")
+    every = max(1, keys.count() // (SAMPLED * ranges))
+    drawn = sorted((r.at, r.uid) for r in keys.filter(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).collect())  # so many for each range
+    least = keys.agg(F.min(F.struct("at", "uid")).alias("r")).first().r
+    return [] if least is None else sorted({(least.at, least.uid), *drawn[SAMPLED::SAMPLED]})
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
@@ -121,9 +116,9 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), sketch(F.col("text")).alias("sketch"))
-    d = d.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("tie", F.xxhash64("text"))
+    docs = common.stored(common.documents(spark, sf_dir))
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("at")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), sketch(F.col("text")).alias("sketch"), at, common.row_ids(docs).alias("uid"))
     d = with_next(d, ["text", "sketch"], RANGES * common.shuffle_partitions(spark))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))

@@ -419,6 +419,22 @@ def test_op8_sketches(spark, folder, rows):
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
 
 
+def test_op8_one_id_in_many_ranges(spark, tmp_path):
+    """Rows of one id are dealt to several ranges, and each has the one after it in the files as its next."""
+    from pyspark.sql import functions as F
+
+    from lumengraph.llm import common, fingerprints
+
+    own = [(None if i % 3 else 7, f"t{i}") for i in range(900)]
+    spark.createDataFrame(own, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    d = docs.select("text", F.coalesce("doc_id", F.lit(99)).alias("at"), common.row_ids(docs).alias("uid"))
+    assert len(fingerprints._firsts(d, 8)) > 5
+    order = [t for i, t in own if i == 7] + [t for i, t in own if i is None]
+    got = {r.text: r.next_text for r in fingerprints.with_next(d, ["text"], 8).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_op8_estimates(spark):
     """Parts merge into the whole; resemblance, containment and counts come near the truth."""
     from pyspark.sql import functions as F
