@@ -251,18 +251,19 @@ def encode_units(units: DataFrame, path: str) -> DataFrame:
     least = 2 if m.kind == 2 else 1  # merges make pieces of two characters and more
     ranks = {c: i for i, c in enumerate(sorted({-s for _, _, s in m.normal}))}
     table = spark.createDataFrame([(t, ranks[-s], -s) for t, _, s in m.normal if len(t) >= least], "piece string, rank long, cost double")
-    reach: dict[str, int] = {}
+    long_ones: dict[str, set[int]] = {}
     for t, _, _ in m.normal:
         if len(t) >= HEAD:
-            reach[t[:HEAD]] = max(len(t), reach.get(t[:HEAD], 0))
-    heads = spark.createDataFrame(list(reach.items()) or [("", 0)], "head string, reach int")
+            long_ones.setdefault(t[:HEAD], set()).add(len(t))
+    heads = spark.createDataFrame([(h, sorted(x)) for h, x in long_ones.items()] or [("", [0])], "head string, sizes array<int>")
     if len(m.normal) <= BROADCAST:
         table, heads = F.broadcast(table), F.broadcast(heads)
     n = F.length("unit")
     starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     starts = starts.withColumn("head", F.substring("unit", F.col("start") + 1, F.lit(HEAD))).join(heads, "head", "left")
-    upto = F.least(F.coalesce("reach", F.lit(HEAD - 1)), n - F.col("start"))
-    spans = starts.filter(upto >= least).select("unit", "start", F.explode(F.sequence(F.lit(least), upto)).alias("len"))
+    short = F.array(*map(F.lit, range(least, HEAD)))
+    sizes = F.filter(F.concat(short, F.coalesce("sizes", F.array().cast("array<int>"))), lambda x: x <= n - F.col("start"))
+    spans = starts.select("unit", "start", F.explode(sizes).alias("len"))
     edges = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("len"))).join(table, "piece")
     end = F.col("start") + F.col("len")
     if m.kind == 2:
