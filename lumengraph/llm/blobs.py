@@ -151,6 +151,7 @@ def repeated(packed: DataFrame, bits: int, homes: int) -> DataFrame:
     # 40 bits of a bucket's hash are kept; with the bucket's number they are a hash of 48 bits in a key
     shift = np.uint64(max(0, bits - 8))
 
+    @common.lean
     def count(key: tuple, table: pa.Table) -> pa.Table:
         slot = key[0].as_py()
         blocks = table.column("block").to_pylist()

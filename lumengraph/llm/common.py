@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache, wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +108,48 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to give large pieces of memory back at once; None where it isn't glibc."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which else grows with what is freed
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(f: Callable) -> Callable:
+    """A function for Python workers, which live on for later stages, that gives back the memory it no longer needs when it ends."""
+    trimmed = [0.0]
+
+    def trim() -> None:
+        if time.monotonic() - trimmed[0] > 0.5:
+            pa.default_memory_pool().release_unused()
+            if _libc() is not None:
+                _libc().malloc_trim(0)
+            trimmed[0] = time.monotonic()
+
+    def run(*args):
+        _libc()
+        out = f(*args)
+        if not isinstance(out, Iterator):
+            trim()
+            return out
+
+        def rows():
+            try:
+                yield from out
+            finally:
+                trim()
+
+        return rows()
+
+    # Spark counts the arguments
+    by_arguments = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}
+    return wraps(f)(by_arguments[len(signature(f).parameters)])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ from lumengraph.llm.components import components
 #: Bits of a node's parities.
 BITS = 512
 #: Words that a worker's cache may hold.
-CACHE = 500_000
+CACHE = 200_000
 META = np.dtype([("uid", "<i8"), ("doc_id", "<i8"), ("null", "?"), ("n", "<i4"), ("sig1", "<i8"), ("sig2", "<i8")])
 PROFILES = "uid long, doc_id long, n int, sig1 long, sig2 long, free int, shared binary, prefix array<long>, bits array<long>"
 #: Bytes of one output batch of profiles.
@@ -83,6 +83,7 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
     bits, homes = blobs.bits_for(size // 3, parts), blobs.homes_for(2 * size, parts)
     rows = docs.select(common.row_ids(docs).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    @common.lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots() -> Iterator[tuple[int, bytes]]:
             s, p = Shingles(words), blobs.Packer(bits)
@@ -100,6 +101,7 @@ def profiles(docs: DataFrame, percent: int, words: int) -> DataFrame:
 
         yield from blobs.batches(slots())
 
+    @common.lean
     def profile(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [x for b in batches for x in b.column("block").to_pylist()]
         meta = np.concatenate([np.frombuffer(x, META, offset=1) for x in blocks if x[0] == 0])
@@ -164,6 +166,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     x = nodes.select(F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("x"))
     y = nodes.select(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("y"))
 
+    @common.lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n_a, n_b = (batch.column(i).to_pylist() for i in range(4))

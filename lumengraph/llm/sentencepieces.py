@@ -426,13 +426,14 @@ def _prepared(docs: DataFrame, path: str) -> tuple[DataFrame, _Encoder]:
     each = 2 * blobs.table_size(docs) // max(1, docs.count())
     shift = max(7, (CHUNK // max(1, each)).bit_length() - 1)
 
+    @common.lean
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
             ids = [np.fromiter(chain.from_iterable(map(m.ids_of, x)), "<i4").tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["unit", "uses", "ids"])
 
-    pairs = common.write_table(rows.mapInArrow(_Encoder(path, shift).distinct, "chunk long, unit string"), "units", compression="zstd")
+    pairs = common.write_table(rows.mapInArrow(common.lean(_Encoder(path, shift).distinct), "chunk long, unit string"), "units", compression="zstd")
     with common.setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000"):
         uses = pairs.groupBy("unit").agg(F.count("*").alias("uses"))
         cut = encode_units(uses, path)
@@ -464,6 +465,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids of every text, as ENCODED."""
     rows, encoder = _prepared(docs, path)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, ids, ends in encoder.ids(batches):
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
@@ -475,6 +477,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of (doc_id, ids)."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in common.slices(batches, 256):
@@ -491,6 +494,7 @@ def summary(docs: DataFrame, path: str) -> DataFrame:
     of every text, in the pass that encodes."""
     rows, encoder = _prepared(docs, path)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for doc_ids, ids, ends in encoder.ids(batches):

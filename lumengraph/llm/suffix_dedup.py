@@ -222,6 +222,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     bits, homes = blobs.bits_for(2 * size // (REACH // 2), parts), blobs.homes_for(2 * size, parts)
     rows = docs.select(common.row_ids(docs).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    @common.lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slots() -> Iterator[tuple[int, bytes]]:
             p = blobs.Packer(bits)
@@ -233,6 +234,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
 
         yield from blobs.batches(slots())
 
+    @common.lean
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slot = pa.array(blobs.home_of(b.column(0).to_numpy(), homes).astype(np.int32))
@@ -242,6 +244,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     mask = np.uint64((1 << 48) - 1)
     kept_bits = np.uint64(16) if bits > 8 else np.uint64(24 - bits)
 
+    @common.lean
     def build(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found = [blobs.unpack_found(x[1:]) for x in right.column("block").to_pylist()]
         uid = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
@@ -283,6 +286,7 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
     n = max(parts, 4 * size // BUCKET_BYTES)
     bits, homes = blobs.bits_for(size // 64, parts), blobs.homes_for(size, parts)
 
+    @common.lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
 
@@ -316,6 +320,7 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
     mask = np.uint64((1 << 48) - 1)
     kept_bits = np.uint64(16) if bits > 8 else np.uint64(24 - bits)
 
+    @common.lean
     def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Decided ranges, and for each window that other buckets may have its digest and the ranges that it decides."""
         blocks = [x for b in batches for x in b.column("block").to_pylist()]
@@ -334,6 +339,7 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
                         ranges.append(b"" if flags[k] else _placed(np.ones(1, bool), low + k, places).tobytes())
         yield pa.RecordBatch.from_arrays([pa.nulls(len(digests), pa.int64()), pa.array(ranges, pa.binary()), pa.array(digests, pa.binary())], names=["uid", "ranges", "digest"])
 
+    @common.lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from _by_uid([np.frombuffer(b"".join(b.column(0).to_pylist()), _RANGE)])
@@ -384,6 +390,7 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     ranges = common.write_table(_repeated_ranges(parts), "ranges", compression="zstd")
     common.release(docs.sparkSession)
 
+    @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 256):
             rows = []

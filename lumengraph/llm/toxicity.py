@@ -209,6 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     drawn = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
+    @common.lean
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = terms().of
         for b in common.slices(batches):
@@ -218,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
     def unpacked(b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
         return [np.frombuffer(x, "<i4").astype(np.int64) for x in b.column(0).to_pylist()], b.column(1).to_numpy().astype(np.float64)
 
+    @common.lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bad, n, p = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS), 0, 0
         for b in common.slices(batches):
@@ -239,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorizati
     seen, bad = (np.bincount(feature[feature >= 0], x[feature >= 0], 1 << BITS) for x in sums)
     able = np.union1d(_alone(seen, bad, n, p), _common(seen))
 
+    @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             found = [np.intersect1d(np.frombuffer(x, "<i4"), able, assume_unique=True).astype("<i4").tobytes() for x in b.column(1).to_pylist()]
@@ -257,6 +260,7 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5,
     names = docs.columns
     at = names.index("text")
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = terms().of
         for b in common.slices(batches, 256):
