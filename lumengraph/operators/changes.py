@@ -55,9 +55,14 @@ def delete(old: DataFrame, gone: DataFrame, key: str = "source_file") -> DataFra
 
 
 def reindex_plan(stored: DataFrame, present: DataFrame, asked: DataFrame, key: str = "source_file") -> DataFrame:
-    """(key, action): for asked paths (``path``, a file or a folder) what to reindex, and what to delete as it is gone."""
-    inside = (F.col(key) == F.col("path")) | F.startswith(F.col(key), F.concat(F.rtrim(F.col("path"), F.lit("/")), F.lit("/")))
-    asked = F.broadcast(asked.select("path"))  # a request list
-    there = present.join(asked, inside, "left_semi").select(key)
-    known = stored.join(asked, inside, "left_semi").select(key)
-    return there.distinct().withColumn("action", F.lit("reindex")).unionByName(known.distinct().join(present.select(key), key, "left_anti").withColumn("action", F.lit("delete")))
+    """(key, action): for asked paths (``path``, a file or a folder) what to reindex, and what to delete as it is gone. A note is joined
+    by its own path and those of the folders above it."""
+    wanted = asked.select(F.rtrim(F.col("path"), F.lit("/")).alias("above")).distinct()
+
+    def inside(notes: DataFrame) -> DataFrame:
+        parts = F.split(key, "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        return notes.select(key, F.explode(above).alias("above")).join(wanted, "above", "left_semi").select(key).distinct()
+
+    there, gone = inside(present), inside(stored).join(present.select(key), key, "left_anti")
+    return there.withColumn("action", F.lit("reindex")).unionByName(gone.withColumn("action", F.lit("delete")))

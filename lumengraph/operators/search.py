@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengraph.functions import text
-from lumengraph.operators import fulltext, predicates, vectors
+from lumengraph.operators import fulltext, vectors
 from lumengraph.operators.filters import Filters, Request
 
 #: Bytes of a note that a full-text hit shows, of a summary, and characters of a preview.
@@ -56,13 +56,22 @@ def run(
     return fulltext.fuse(near, found, asked.limit, key)
 
 
+def path_matches(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(position, source_file) of asked (position, path): notes whose path is the asked one or ends in it after a slash, with or without
+    .md, whatever the case; backslashes count as slashes. A note is joined by every end of its path."""
+    asked = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
+    forms = wanted.select("position", F.explode(F.array(asked, F.concat(asked, F.lit(".md")))).alias("end"))
+    parts = F.split(F.lower(F.replace("source_file", F.lit("\\"), F.lit("/"))), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    return documents.select("source_file", F.explode(ends).alias("end")).join(forms, "end").select("position", "source_file").distinct()
+
+
 def found_by_path(wanted: DataFrame, documents: DataFrame) -> DataFrame:
     """(position, path, status, source_file) of asked (position, path): the exact path first, else the only note whose path fuzzily
-    matches; status: found, ambiguous or not found. A request list is short and goes to the scan."""
+    matches; status: found, ambiguous or not found."""
     exact = wanted.join(documents.select("source_file"), F.col("path") == F.col("source_file")).select("position", "source_file")
     open_ = wanted.join(exact.select("position"), "position", "left_anti")
-    fuzzy = documents.select("source_file").join(F.broadcast(open_), predicates.fuzzy_path(F.col("source_file"), F.col("path"), fold=True)).select("position", "source_file")
-    hits = exact.union(fuzzy).groupBy("position").agg(F.count("*").alias("n"), F.min("source_file").alias("source_file"))
+    hits = exact.union(path_matches(open_, documents)).groupBy("position").agg(F.count("*").alias("n"), F.min("source_file").alias("source_file"))
     status = F.when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous").otherwise("not found")
     return wanted.join(hits, "position", "left").select("position", "path", status.alias("status"), F.when(F.col("n") == 1, F.col("source_file")).alias("source_file"))
 

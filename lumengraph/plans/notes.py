@@ -197,9 +197,7 @@ _WANTED = ["src0/en/0.md", "1", "nowhere", "7.md", "SRC3\\\\EN\\\\3"]
 )
 def examine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([(i, p.replace("\\\\", "\\")) for i, p in enumerate(_WANTED)], "position int, path string")
-    n = views.notes(spark, sf_dir).select("source_file")
-    # a request list is short: it goes to the scan
-    hits = n.join(F.broadcast(wanted), predicates.fuzzy_path(n.source_file, wanted.path, fold=True)).select("position", "source_file")
+    hits = search.path_matches(wanted, views.notes(spark, sf_dir))
     out = wanted.join(hits, "position", "left").groupBy("position").agg(F.count("source_file").alias("matches"), F.coalesce(F.min("source_file"), F.lit("")).alias("first_match"))
     status = F.when(F.col("matches") == 0, "not found").when(F.col("matches") == 1, "found").otherwise("ambiguous")
     return out.select("position", "matches", status.alias("status"), "first_match")
