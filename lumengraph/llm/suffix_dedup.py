@@ -35,7 +35,8 @@ from lumengraph.llm import blobs, common
 LENGTH, REACH, GRAM = 400, 128, 16
 SURE = LENGTH - REACH + 1
 KEY = LENGTH + REACH
-#: Leading bytes by which suffixes are dealt into ranges; those that have them in common are split by a hash of the key.
+#: Leading bytes by which suffixes are dealt into ranges; those that have them in common are split by a hash of the key, and
+#: equal keys by one of their places.
 LEAD = 24
 #: Bytes of suffix keys in a bucket, about.
 BUCKET_BYTES = 12 << 20
@@ -345,7 +346,8 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
             yield from _by_uid([np.frombuffer(b"".join(b.column(0).to_pylist()), _RANGE)])
 
     rows = suffixes.filter("key IS NOT NULL").select("key", "low", "high", "places")
-    dealt = rows.repartitionByRange(n, F.substring("key", 1, LEAD), F.xxhash64("key"))
+    # places come last, so that a key that very many groups of documents have is split too
+    dealt = rows.repartitionByRange(n, F.substring("key", 1, LEAD), F.xxhash64("key"), F.xxhash64("places"))
     packed = dealt.mapInArrow(sort, blobs.SCHEMA)
     found = common.write_table(blobs.repeated(packed, bits, homes).groupBy("slot").applyInArrow(gather, FOUND), "found", compression="zstd")
     windows = found.filter("digest IS NOT NULL")
