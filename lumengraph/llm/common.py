@@ -73,7 +73,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lumengraph-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Remove all scratch tables of this driver, once no result that reads them is needed any more; how many there were."""
+    gone = 0
+    while _SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return gone
 
 
 def write_table(df: DataFrame, tag: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:

@@ -591,3 +591,27 @@ def test_op10_windows_that_share_a_hash(monkeypatch):
     bucket = suffix_dedup.Bucket(keys, [0] * 9, [5] * 9, [b"\0" * 16] * 9)
     monkeypatch.setattr(suffix_dedup.xxhash, "xxh3_64_intdigest", lambda b: 7)
     assert not any(flags.any() for _, flags, _ in bucket.resolve())
+
+
+def test_rows_are_numbered_by_place(spark, tmp_path):
+    """Numbers are distinct and stay the same however files are cut; what isn't a scan is stored first; scratch tables can be removed."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from lumengraph.llm import common
+
+    spark.range(5000).repartition(5).write.parquet(f"{tmp_path}/é x")
+    docs = spark.read.parquet(f"{tmp_path}/é x")
+    assert common.stored(docs) is docs and common.stored(docs.filter("id > 3")) is not None
+    a = {r.id: r.n for r in docs.select("id", common.row_ids(docs).alias("n")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    b = {r.id: r.n for r in docs.select("id", common.row_ids(docs).alias("n")).collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert a == b and len(set(a.values())) == 5000
+    copy = common.stored(docs.groupBy("id").agg(F.lit(1).alias("one")))
+    assert copy.select(common.row_ids(copy).alias("n")).distinct().count() == 5000
+    path = common._SCRATCH[-1]
+    assert path.split("/")[-1] in " ".join(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    common._SCRATCH[:-1] = []
+    assert common.remove_scratch(spark) == 1 and path.split("/")[-1] not in os.listdir(spark.conf.get("spark.checkpoint.dir"))
