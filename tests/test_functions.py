@@ -86,6 +86,17 @@ def test_tags_match_whatever_their_case(spark):
     assert d.filter(predicates.has_tags(F.col("tags"), [])).count() == 3
 
 
+def test_fuzzy_paths(spark):
+    from lumengraph.operators import search
+
+    notes = spark.createDataFrame([("a/B.md",), ("b.md",), ("c/a/b.md",), ("xb.md",)], "source_file string")
+    asked = ["b", "B.MD", "a\\b", "c/a/b.md", "x", ""]
+    wanted = spark.createDataFrame(list(enumerate(asked)), "position int, path string")
+    got = {tuple(r) for r in search.path_matches(wanted, notes).collect()}
+    plain = notes.crossJoin(wanted).filter(predicates.fuzzy_path(F.col("source_file"), F.col("path"), fold=True)).select("position", "source_file")
+    assert got == {tuple(r) for r in plain.collect()} == {(0, "a/B.md"), (0, "b.md"), (0, "c/a/b.md"), (1, "a/B.md"), (1, "b.md"), (1, "c/a/b.md"), (2, "a/B.md"), (2, "c/a/b.md"), (3, "c/a/b.md")}
+
+
 @pytest.mark.parametrize(
     ("phrase", "end", "day"),
     [
