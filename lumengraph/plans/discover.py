@@ -10,7 +10,7 @@ from lumengraph.operators import graph, numbering, predicates, search, similar,
 from lumengraph.operators.filters import Filters, Request
 from lumengraph.plans.catalog import query
 from lumengraph.plans.notes import _BM25, _index
-from lumengraph.plans.vectors import _DEGREE, _DOT, _KNN, _L2, _similar_sql, _vector
+from lumengraph.plans.vectors import _DEGREE, _DOT, _KNN, _L2, _bridges_sql, _similar_sql, _vector
 from lumengraph.sources import scratch, views
 
 #: The note that trees start at.
@@ -157,10 +157,12 @@ def bridge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.best_pairs(pairs).select("path_a", "path_b", "chunk_a", "chunk_b", F.round("sim", 6).alias("sim"))
 
 
-@query("bridges_json")
+@query("bridges_json", f"WITH b AS ({_bridges_sql('sim * log2(coalesce(distance, 9) + 1.0)')}) SELECT CAST(to_json({{'path_a': path_a, 'path_b': path_b, 'distance': distance, 'sim_ppm': CAST(round(sim * 1000000) AS BIGINT)}}) AS VARCHAR) AS json FROM b")
 def bridges_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bridges as JSON objects; how numbers are written differs from SQL's."""
-    return similar.as_json(similar.bridges(views.chunks(spark, sf_dir), views.links(spark, sf_dir), k=8, min_similarity=0.25))
+    """Bridges as JSON objects, similarities in millionths, as numbers with a fraction are written differently elsewhere."""
+    found = similar.bridges(views.chunks(spark, sf_dir), views.links(spark, sf_dir), k=8, min_similarity=0.25)
+    ppm = F.round(F.round("sim", 6) * 1000000).cast("long").alias("sim_ppm")
+    return similar.as_json(found.select("path_a", "path_b", F.coalesce("distance", F.lit(-1)).alias("distance"), ppm))
 
 
 @query(
