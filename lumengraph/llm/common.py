@@ -124,10 +124,12 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 @lru_cache(maxsize=1)
 def _libc():
-    """The C library, told to give large pieces of memory back at once; None where it isn't glibc."""
+    """The C library, told to give very large pieces of memory back at once, and others only when asked to; None where it isn't
+    glibc."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which else grows with what is freed
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, which else grows with what is freed
+        libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
         return libc
     except (OSError, AttributeError):
         return None
