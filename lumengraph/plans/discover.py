@@ -26,13 +26,13 @@ def _tree_sql(depth: int, limit: int, where: str = "true") -> str:
     t AS (SELECT '' AS key, CAST({_ROOT} AS BIGINT) AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, [CAST({_ROOT} AS BIGINT)] AS line, CAST(NULL AS VARCHAR) AS directions, false AS cycle
           UNION ALL SELECT t.key || lpad(CAST(place AS VARCHAR), 9, '0'), e.node, t.depth + 1, t.node, list_append(t.line, e.node), e.directions, list_contains(t.line, e.node)
           FROM t JOIN ne AS e ON e.above = t.node WHERE NOT t.cycle AND t.depth < {depth} AND {where})
-    SELECT CAST(row_number() OVER (ORDER BY depth, key) AS INTEGER) AS rank, t.node, depth, parent, coalesce(deg.degree, 0) AS degree, directions, cycle
+    SELECT CAST(row_number() OVER (ORDER BY depth, key) AS INTEGER) AS rank, t.node, depth, coalesce(parent, -1) AS parent, coalesce(deg.degree, 0) AS degree, coalesce(directions, '') AS directions, cycle
     FROM t LEFT JOIN deg ON t.node = deg.node ORDER BY depth, key LIMIT {limit}
     """
 
 
 def _tree(found: DataFrame) -> DataFrame:
-    return found.select("rank", "node", "depth", "parent", "degree", "directions", "cycle")
+    return found.select("rank", "node", "depth", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent"), "degree", F.coalesce("directions", F.lit("")).alias("directions"), "cycle")
 
 
 @query("explore_cycles", _tree_sql(9, 100_000))
@@ -60,7 +60,7 @@ def explore_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     t AS (SELECT '' AS key, CAST({_ROOT} AS BIGINT) AS node, 0 AS depth, [CAST({_ROOT} AS BIGINT)] AS line, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, false AS cycle
           UNION ALL SELECT t.key || lpad(CAST(place AS VARCHAR), 9, '0'), e.node, t.depth + 1, list_append(t.line, e.node), CASE WHEN e.directions = 'in' THEN e.node ELSE t.node END, CASE WHEN e.directions = 'in' THEN t.node ELSE e.node END, list_contains(t.line, e.node)
           FROM t JOIN ne AS e ON e.above = t.node WHERE NOT t.cycle AND t.depth < 7)
-    SELECT CAST(row_number() OVER (ORDER BY depth, key) AS INTEGER) AS rank, CAST(node AS VARCHAR) AS node, section FROM t LEFT JOIN s ON t.src = s.src AND t.dst = s.dst
+    SELECT CAST(row_number() OVER (ORDER BY depth, key) AS INTEGER) AS rank, CAST(node AS VARCHAR) AS node, coalesce(section, '') AS section FROM t LEFT JOIN s ON t.src = s.src AND t.dst = s.dst
     """,
 )
 def explore_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def explore_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     crumb = F.when(F.col("chunk_index") == 0, F.col("note_path")).otherwise(F.concat("note_path", F.lit(" > Top > Part "), F.col("chunk_index").cast("string")))
     sections = graph.link_sections(c.withColumn("breadcrumb", crumb)).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "section")
     found = graph.explore_tree(links, _ROOT, 7, dedup=False, sections=sections)
-    return found.select("rank", F.col("node").cast("string").alias("node"), "section")
+    return found.select("rank", F.col("node").cast("string").alias("node"), F.coalesce("section", F.lit("")).alias("section"))
 
 
 @query("known_links", f"WITH links AS ({views.LINKS_SQL}), l AS (SELECT * FROM links WHERE src % 5 <> 0 AND dst % 5 <> 0), e AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l) SELECT src AS node, count(*) AS degree FROM e GROUP BY src")

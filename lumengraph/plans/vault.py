@@ -62,16 +62,16 @@ _MORE, _LAST = "\n## More\nold", "\n## Last\nx"
     "note_edits",
     f"WITH {_MADE_SQL} "
     + " UNION ALL ".join(
-        f"SELECT doc_id, '{name}' AS edit, {sql} AS text FROM " + (f"(SELECT doc_id, t || {_NL} || '## More' || {_NL} || 'old' AS t FROM made)" if name in _WITH_MORE else "made") for name, (_, _, sql) in _EDITS.items()
+        f"SELECT doc_id, '{name}' AS edit, coalesce({sql}, '') AS text FROM " + (f"(SELECT doc_id, t || {_NL} || '## More' || {_NL} || 'old' AS t FROM made)" if name in _WITH_MORE else "made") for name, (_, _, sql) in _EDITS.items()
     ),
 )
 def note_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every way to edit, of every note; an edit that can't be made gives null."""
+    """Every way to edit, of every note; an edit that can't be made gives an empty text here."""
     made = _made(spark, sf_dir)
     out = []
     for name, (mode, args, _) in _EDITS.items():
         t = F.concat("t", F.lit(_MORE + _LAST)) if name in _WITH_MORE else F.col("t")
-        out.append(made.select("doc_id", F.lit(name).alias("edit"), edits.edited(mode, t, *args)["text"].alias("text")))
+        out.append(made.select("doc_id", F.lit(name).alias("edit"), F.coalesce(edits.edited(mode, t, *args)["text"], F.lit("")).alias("text")))
     return _union(out)
 
 
@@ -121,8 +121,8 @@ def chunk_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "note_paths",
-    f"""WITH {_N} SELECT doc_id, source_file AS target, CAST(doc_id AS VARCHAR) AS stem, 'Note ' || CAST(doc_id AS VARCHAR) AS unwrapped, title AS section, CASE WHEN doc_id % 2 = 0 THEN title END AS own_section,
-    CASE WHEN doc_id % 3 = 0 THEN DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER) END AS dated FROM (SELECT doc_id, source_file, 'S' || CAST(doc_id AS VARCHAR) AS title FROM n)""",
+    f"""WITH {_N} SELECT doc_id, source_file AS target, CAST(doc_id AS VARCHAR) AS stem, 'Note ' || CAST(doc_id AS VARCHAR) AS unwrapped, title AS section, CASE WHEN doc_id % 2 = 0 THEN title ELSE '' END AS own_section,
+    CASE WHEN doc_id % 3 = 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER), '%Y-%m-%d') ELSE '' END AS dated FROM (SELECT doc_id, source_file, 'S' || CAST(doc_id AS VARCHAR) AS title FROM n)""",
 )
 def note_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms and labels of paths."""
@@ -134,24 +134,25 @@ def note_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(
         "doc_id", paths.target(bare).alias("target"), paths.stem(F.col("source_file")).alias("stem"),
         paths.unwrapped(F.concat(F.lit(" [[ Note "), F.col("doc_id").cast("string"), F.lit(" |x]] "))).alias("unwrapped"), paths.section(crumb).alias("section"),
-        F.when(F.col("doc_id") % 2 == 0, paths.section(crumb, F.col("source_file"))).otherwise(paths.section(F.col("s"), F.col("s"))).alias("own_section"), text.path_date(dated).alias("dated"),
+        F.coalesce(F.when(F.col("doc_id") % 2 == 0, paths.section(crumb, F.col("source_file"))).otherwise(paths.section(F.col("s"), F.col("s"))), F.lit("")).alias("own_section"),
+        F.coalesce(F.date_format(text.path_date(dated), "yyyy-MM-dd"), F.lit("")).alias("dated"),
     )
 
 
 @query(
     "text_cuts",
-    """SELECT doc_id, substr(text, 1, 50) AS excerpt, CASE WHEN ascii_only THEN CASE WHEN length(t) <= 40 THEN t ELSE substr(t, 1, 40) || '...' END END AS truncated,
-    CASE WHEN ascii_only THEN substr(t, 11, 20) END AS part, CASE WHEN ascii_only THEN substr('passage: ' || 'n > S' || chr(10) || chr(10) || t, 1, 60) END AS embed, octets
+    """SELECT doc_id, substr(text, 1, 50) AS excerpt, CASE WHEN ascii_only THEN CASE WHEN length(t) <= 40 THEN t ELSE substr(t, 1, 40) || '...' END ELSE '' END AS truncated,
+    CASE WHEN ascii_only THEN substr(t, 11, 20) ELSE '' END AS part, CASE WHEN ascii_only THEN substr('passage: ' || 'n > S' || chr(10) || chr(10) || t, 1, 60) ELSE '' END AS embed, octets
     FROM (SELECT doc_id, text, text AS t, strlen(text) = length(text) AS ascii_only, strlen(text) AS octets FROM documents)""",
 )
 def text_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cuts by characters and by bytes; the SQL has those by bytes for ASCII texts only, so others are null here."""
+    """Cuts by characters and by bytes; the SQL has those by bytes for ASCII texts only, so others are empty here."""
     t = F.col("text")
     plain = F.octet_length(t) == F.length(t)
     d = table(spark, sf_dir, "documents")
     return d.select(
-        "doc_id", F.substring(t, 1, 50).alias("excerpt"), F.when(plain, text.truncated(t, 40)).alias("truncated"), F.when(plain, text.byte_slice(t, 10, 20)).alias("part"),
-        F.when(plain, embedding.embed_text(F.lit("n > S"), t, "passage: ", 60)).alias("embed"), F.octet_length(t).cast("long").alias("octets"),
+        "doc_id", F.substring(t, 1, 50).alias("excerpt"), F.when(plain, text.truncated(t, 40)).otherwise("").alias("truncated"), F.when(plain, text.byte_slice(t, 10, 20)).otherwise("").alias("part"),
+        F.when(plain, embedding.embed_text(F.lit("n > S"), t, "passage: ", 60)).otherwise("").alias("embed"), F.octet_length(t).cast("long").alias("octets"),
     )
 
 
@@ -182,15 +183,15 @@ def _asked_sql(shown: str) -> str:
           WHERE position NOT IN (SELECT position FROM x) AND (p = q OR p = q || '.md' OR ends_with(p, '/' || q) OR ends_with(p, '/' || q || '.md'))
           UNION ALL SELECT * FROM x),
     g AS (SELECT position, count(*) AS n, min(source_file) AS f FROM m GROUP BY position)
-    SELECT w.position, CASE WHEN g.n IS NULL THEN 'not found' WHEN g.n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN g.n = 1 THEN g.f END AS source_file,
-           n.title, {shown} AS content
+    SELECT w.position, CASE WHEN g.n IS NULL THEN 'not found' WHEN g.n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN g.n = 1 THEN g.f ELSE '' END AS source_file,
+           coalesce(n.title, '') AS title, coalesce({shown}, '') AS content
     FROM w LEFT JOIN g USING (position) LEFT JOIN n ON g.n = 1 AND g.f = n.source_file
     """
 
 
 def _examined(spark: SparkSession, sf_dir: str, mode: str, **more: int) -> DataFrame:
     asked = spark.createDataFrame(list(enumerate(_ASKED)), "position int, path string")
-    return search.examine(asked, views.notes(spark, sf_dir), mode, **more).drop("tags")
+    return search.examine(asked, views.notes(spark, sf_dir), mode, **more).drop("tags").fillna("")
 
 
 @query("examine_full", _asked_sql("full_text"))
@@ -198,11 +199,10 @@ def examine_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _examined(spark, sf_dir, "full")
 
 
-@query("examine_slice", _asked_sql("substr(full_text, 6, 30)").replace("n.title,", "CASE WHEN substr(full_text, 1, 60) = strip_accents(substr(full_text, 1, 60)) THEN n.title END AS title,"))
+@query("examine_slice", _asked_sql("substr(full_text, 6, 30)"))
 def examine_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A slice by bytes; the SQL has it by characters, so texts that begin in ASCII are compared."""
-    out = _examined(spark, sf_dir, "slice", offset=5, size=30)
-    return out.withColumn("title", F.when(F.octet_length("content") == F.length("content"), F.col("title")))
+    """A slice by bytes, which of these notes is one by characters."""
+    return _examined(spark, sf_dir, "slice", offset=5, size=30)
 
 
 @query(
@@ -220,13 +220,13 @@ def vault_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     "vault_tree_files",
     f"""WITH {_N}, p AS (SELECT source_file AS e, string_split(source_file, '/') AS s FROM n WHERE doc_id % 10 = 3),
     d AS (SELECT array_to_string(s[1:k], '/') AS e, list_transform(s[1:k], lambda x: chr(2) || x) AS key, k, CAST(sum(CASE WHEN k = len(s) - 1 THEN 1 ELSE 0 END) AS BIGINT) AS notes FROM (SELECT s, unnest(range(1, len(s))) AS k FROM p) GROUP BY ALL),
-    x AS (SELECT e, true AS is_dir, k, notes, key FROM d UNION ALL SELECT e, false, len(s), NULL, list_append(list_transform(s[1:len(s) - 1], lambda x: chr(2) || x), chr(1) || s[len(s)]) FROM p)
+    x AS (SELECT e, true AS is_dir, k, notes, key FROM d UNION ALL SELECT e, false, len(s), -1, list_append(list_transform(s[1:len(s) - 1], lambda x: chr(2) || x), chr(1) || s[len(s)]) FROM p)
     SELECT 0 AS place, '' AS entry, true AS is_dir, 0 AS depth, (SELECT count(*) FROM p) AS notes
     UNION ALL SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS place, e, is_dir, CAST(k AS INTEGER), notes FROM x ORDER BY key LIMIT 25)""",
 )
 def vault_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With files: a budget of 25 entries, on the notes whose ids end in 3, as a folder of its own."""
-    return tree.limited(views.notes(spark, sf_dir).filter("doc_id % 10 = 3"), 5, 25, files=True, path="source_file")
+    return tree.limited(views.notes(spark, sf_dir).filter("doc_id % 10 = 3"), 5, 25, files=True, path="source_file").fillna(-1, "notes")
 
 
 @query("upsert_chunks", f"WITH c AS ({views.CHUNKS_SQL}) SELECT note_path, chunk_index, CASE WHEN note_id % 3 = 0 THEN vec_id + 1000000 ELSE vec_id END AS vec_id FROM c WHERE note_id % 3 <> 0 OR chunk_index < 2")
