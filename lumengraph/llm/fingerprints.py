@@ -24,7 +24,7 @@ from lumengraph.llm import common
 
 K, WORDS = 128, 5
 #: Ranges for each shuffle partition, and rows that are sampled for each range.
-RANGES, SAMPLED = 4, 20
+RANGES, SAMPLED = 4, 50
 _LAST = (1 << 63) - 1
 
 
@@ -79,10 +79,12 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(d: DataFrame, carried: list[str], ranges: int) -> DataFrame:
-    """Adds next_<column> of the row that follows by (at, uid), which are distinct; the first row's for the last."""
-    firsts = _firsts(d, ranges)
+def with_next(d: DataFrame, carried: list[str], ranges: int, made: dict[str, Column] | None = None) -> DataFrame:
+    """Adds the columns ``made``, and next_<column> of the row that follows by (at, uid), which are distinct; the first row's for the
+    last. What is made is made once for each row, after the rows that are sent twice were found."""
+    firsts, made = _firsts(d, ranges), made or {}
     if not firsts:
+        d = d.withColumns(made)
         return d.select("*", *(F.lit(None).cast(d.schema[c].dataType).alias(f"next_{c}") for c in carried))
     n, spark, kind = len(firsts), d.sparkSession, "struct<at:bigint,uid:bigint>"
     # two levels, so that a row passes few of them though there are many
@@ -96,7 +98,7 @@ def with_next(d: DataFrame, carried: list[str], ranges: int) -> DataFrame:
     rows = d.join(F.broadcast(levels)).withColumn("range", top * step + upto(F.get("groups", top)) - 1).drop("tops", "groups")  # levels: one row
     before = spark.createDataFrame([(at, uid, (i - 1) % n) for i, (at, uid) in enumerate(firsts)], "at long, uid long, range int")
     ahead = d.join(F.broadcast(before), ["at", "uid"]).select(*d.columns, "range")  # a row for each range
-    rows = rows.withColumn("halo", F.lit(False)).unionByName(ahead.withColumn("halo", F.lit(True)))
+    rows = rows.withColumn("halo", F.lit(False)).unionByName(ahead.withColumn("halo", F.lit(True))).withColumns(made)
     w = Window.partitionBy("range").orderBy("halo", "at", "uid")
     return rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).filter(~F.col("halo")).drop("halo", "range")
 
@@ -105,9 +107,10 @@ def _firsts(d: DataFrame, ranges: int) -> list[tuple[int, int]]:
     """The first row of each range: the least (at, uid), and sampled ones, ascending; none of an empty table."""
     keys = d.select("at", "uid")
     every = max(1, keys.count() // (SAMPLED * ranges))
-    drawn = sorted((r.at, r.uid) for r in keys.filter(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).collect())  # so many for each range
+    drawn = keys.filter(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).toArrow().sort_by([("at", "ascending"), ("uid", "ascending")])  # so many for each range
     least = keys.agg(F.min(F.struct("at", "uid")).alias("r")).first().r
-    return [] if least is None else sorted({(least.at, least.uid), *drawn[SAMPLED::SAMPLED]})
+    cuts = zip(*(drawn.column(c).to_numpy()[SAMPLED::SAMPLED].tolist() for c in ("at", "uid")), strict=True)
+    return [] if least is None else sorted({(least.at, least.uid), *cuts})
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
@@ -118,8 +121,8 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.stored(common.documents(spark, sf_dir))
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("at")
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), sketch(F.col("text")).alias("sketch"), at, common.row_ids(docs).alias("uid"))
-    d = with_next(d, ["text", "sketch"], RANGES * common.shuffle_partitions(spark))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), at, common.row_ids(docs).alias("uid"))
+    d = with_next(d, ["text", "sketch"], RANGES * common.shuffle_partitions(spark), {"sketch": sketch(F.col("text"))})
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
