@@ -88,12 +88,17 @@ class VersionedTable:
         kept = {b: at for b, at in self._manifest(self.versions()[-1])["buckets"].items() if int(b) not in touched}
         return self._write(change(self.read(touched)), kept)
 
-    def upsert(self, rows: DataFrame) -> int:
-        """Rows by key; a table of another schema is replaced."""
+    def upsert(self, rows: DataFrame, order: str | None = None) -> int:
+        """Rows by key; with ``order``, of a key's rows, stored and new, that of its greatest value stays. A table of another schema is
+        replaced."""
+
+        def latest(every: DataFrame) -> DataFrame:
+            return every.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+
         old = self.read([])
         if old is None or dict(old.dtypes) != dict(rows.dtypes):
-            return self.overwrite(rows)
-        return self._replace(rows, lambda own: changes.merge(own, rows, self.keys))
+            return self.overwrite(rows if order is None else latest(rows))
+        return self._replace(rows, lambda own: changes.merge(own, rows, self.keys) if order is None else latest(own.unionByName(rows)))
 
     def delete(self, gone: DataFrame, key: str) -> int | None:
         """Rows of these values of a column go; the whole key's column needs only its own buckets rewritten."""

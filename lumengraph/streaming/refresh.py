@@ -58,12 +58,12 @@ def rows_of(spark: SparkSession, path: str, schema: str, most_files: int | None
 
 
 def keep_current(stream: DataFrame, table: VersionedTable, checkpoint: str, order: str, keep: int = 5) -> StreamingQuery:
-    """Upsert each micro-batch: of rows with equal keys the one of greatest ``order``; every batch is one new version of the buckets
-    that it touches, so a batch that runs again gives the same table, and readers of the last ``keep`` versions aren't disturbed."""
+    """Upsert each micro-batch: of all rows of a key the one of greatest ``order`` stays, whichever batch it came in; every batch is one
+    new version of the buckets that it touches, so a batch that runs again gives the same table, and readers of the last ``keep``
+    versions aren't disturbed."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy(*table.keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        table.upsert(latest)
+        table.upsert(batch, order)
         table.vacuum(keep)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
