@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
 toxicity: documents that the classifier rejects go. jaccard_join: of each group of near copies the document of least id
-stays. suffix_dedup: passages of 400 bytes that repeat are cut out of texts. mixing: each document comes as often as the mix
+stays. suffix_dedup: passages of over 50 words, or of 400 bytes, that repeat are cut out of texts. mixing: each document comes as often as the mix
 of sources takes of it, none, once or twice; the one at a source's budget is kept whole. sentencepieces: token ids.
 
 Decisions are joined to the texts by sort and merge at every size: a plan that broadcasts them where they are few moves no text
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lumengraph.llm import common, jaccard_join, mixing, sentencepieces, suffix_dedup, toxicity
 
 _LAST = (1 << 63) - 1
+#: Repeated passages of more words are cut; at one byte a word and one between, they have 2 * WORDS + 1 bytes at least.
+WORDS = 50
 
 
 def _free(docs: DataFrame, *names: str) -> list[str]:
@@ -45,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs, (uid, kept) = common.stored(docs), _free(docs, "uid", "kept")
-    found = suffix_dedup.dedup(docs, texts=True).filter("kept IS NOT NULL").select(F.col("uid").alias(uid), F.col("kept").cast("string").alias(kept))
+    found = suffix_dedup.dedup(docs, texts=True, length=2 * WORDS + 1, words=WORDS).filter("kept IS NOT NULL").select(F.col("uid").alias(uid), F.col("kept").cast("string").alias(kept))
     found = common.write_table(found, "kept-texts", compression="zstd")
     out = docs.withColumn(uid, common.row_ids(docs)).join(found.hint("merge"), uid, "left").withColumn("text", F.coalesce(kept, "text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

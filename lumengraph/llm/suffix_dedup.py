@@ -13,6 +13,9 @@ a bucket's first or last one, and so may lie in other buckets too, are looked up
 is found there counts if a 128-bit cryptographic digest of the window is found twice. A key that repeats in very many
 documents so never meets in one task.
 
+Strings of another length than 400 bytes can be asked for (``dedup``); what is said of 128, 64 and 273 bytes above then follows
+``Sizes``.
+
 Null and empty texts, and texts under 400 bytes, keep all bytes; repeated rows repeat each other and go whole if they
 have 400 bytes; null ids are carried; further columns are ignored; an empty table gives an empty result.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,6 @@ from pyspark.sql import functions as F
 from lumengraph.llm import blobs, common
 
 LENGTH, REACH, GRAM = 400, 128, 16
-SURE = LENGTH - REACH + 1
-KEY = LENGTH + REACH
 #: Leading bytes by which suffixes are dealt into ranges; those that have them in common are split by a hash of the key, and
 #: equal keys by one of their places.
 LEAD = 24
@@ -50,24 +52,45 @@ FOUND = f"{RANGES}, digest binary"
 RESULT = "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+class Sizes(NamedTuple):
+    """Bytes of a window, of its starts among which the anchor is, after an anchor in any window, and of a suffix's key."""
+
+    length: int
+    reach: int
+    sure: int
+    key: int
+
+    @classmethod
+    def of(cls, length: int) -> Sizes:
+        # clusters have more bytes in common than those by which suffixes are dealt; keys are whole words of eight bytes
+        if length <= LEAD:
+            raise ValueError(f"windows have more than {LEAD} bytes")
+        reach = min(REACH, 1 << (length - LEAD).bit_length() - 1)
+        return cls(length, reach, length - reach + 1, -(-(length + reach) // 8) * 8)
+
+
+_USUAL = Sizes.of(LENGTH)
+SURE, KEY = _USUAL.sure, _USUAL.key
+
+
+def anchors(texts: list[bytes], sizes: Sizes = _USUAL) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each text the anchors' places, and the first and last window start that each governs."""
     none = (np.empty(0, np.int64),) * 3
-    long_ones = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
+    long_ones = [i for i, t in enumerate(texts) if len(t) >= sizes.length]
     found: dict[int, tuple] = {}
     while long_ones:
         part, size = [], 0
         while long_ones and (not part or size < _TEXTS):
             part.append(long_ones.pop(0))
             size += len(texts[part[-1]])
-        found.update(zip(part, _anchors([texts[i] for i in part]), strict=True))
+        found.update(zip(part, _anchors([texts[i] for i in part], sizes), strict=True))
     return (found.get(i, none) for i in range(len(texts)))
 
 
-def _anchors(texts: list[bytes]) -> list[tuple]:
+def _anchors(texts: list[bytes], sizes: Sizes) -> list[tuple]:
     lens = np.array([len(t) for t in texts])
     starts = np.cumsum(lens) - lens
-    b = np.frombuffer(b"".join(texts) + bytes(LENGTH), np.uint8)
+    b = np.frombuffer(b"".join(texts) + bytes(sizes.length), np.uint8)
     x = b[:-1].astype(np.uint64) | b[1:].astype(np.uint64) << np.uint64(8)
     x = x[:-2] | x[2:] << np.uint64(16)
     x = x[:-4] | x[4:] << np.uint64(32)
@@ -75,10 +98,10 @@ def _anchors(texts: list[bytes]) -> list[tuple]:
     # the hash's upper 32 bits, then the place: the least is the leftmost of the least hashes
     m = h & np.uint64(0xFFFFFFFF00000000) | np.arange(len(h), dtype=np.uint64)
     span = 1
-    while span < REACH:
+    while span < sizes.reach:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
-    windows = lens - LENGTH + 1
+    windows = lens - sizes.length + 1
     p = np.arange(int(windows.sum())) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
     at = (m[p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     change = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -87,8 +110,8 @@ def _anchors(texts: list[bytes]) -> list[tuple]:
     return [tuple(v[a:z] - s for v in (place, first, last)) for a, z, s in zip(cut, np.append(cut[1:], len(place)), starts, strict=True)]
 
 
-def _sure_hashes(text: bytes, places: np.ndarray) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(text[a : a + SURE]) for a in places.tolist()], np.uint64)
+def _sure_hashes(text: bytes, places: np.ndarray, sizes: Sizes) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(text[a : a + sizes.sure]) for a in places.tolist()], np.uint64)
 
 
 def multikey_quicksort(words: np.ndarray, tie: list) -> np.ndarray:
@@ -124,26 +147,27 @@ class Bucket:
 
     A window is known by its offset: how far before the anchor it starts."""
 
-    def __init__(self, keys: list[bytes], low: list[int], high: list[int], places: list[bytes]):
-        raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
+    def __init__(self, keys: list[bytes], low: list[int], high: list[int], places: list[bytes], sizes: Sizes = _USUAL):
+        self.length = length = sizes.length
+        raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, sizes.key)
         order = multikey_quicksort(raw.view(">u8"), keys)
         raw = raw[order]
         self.low, self.high = np.array(low)[order], np.array(high)[order]
         self.places = [places[i] for i in order]
         self.raw, n = raw, len(raw)
         many = np.array([len(p) > _PLACE.itemsize for p in self.places])
-        right = np.minimum(_common(raw[1:, :LENGTH], raw[:-1, :LENGTH]), LENGTH - np.maximum(self.low[1:], self.low[:-1]))
-        left = np.minimum(_common(raw[1:, LENGTH:], raw[:-1, LENGTH:]), np.minimum(self.high[1:], self.high[:-1]))
+        right = np.minimum(_common(raw[1:, :length], raw[:-1, :length]), length - np.maximum(self.low[1:], self.low[:-1]))
+        left = np.minimum(_common(raw[1:, length:], raw[:-1, length:]), np.minimum(self.high[1:], self.high[:-1]))
         # decided offsets: those of the row itself if it has several places, else shared with the row before or after
         none = (np.ones(n, np.int64), np.zeros(n, np.int64))
         self.spans = []
         for shift in (0, 1):
             a, z = none[0].copy(), none[1].copy()
             rows = slice(1, n) if shift == 0 else slice(0, n - 1)
-            a[rows], z[rows] = np.maximum(self.low[rows], LENGTH - right), np.minimum(self.high[rows], left)
+            a[rows], z[rows] = np.maximum(self.low[rows], length - right), np.minimum(self.high[rows], left)
             self.spans.append((a, z))
         self.spans.append((np.where(many, self.low, 1), np.where(many, self.high, 0)))
-        self.cluster = np.cumsum(np.append(False, right < SURE)) if n else np.empty(0, np.int64)
+        self.cluster = np.cumsum(np.append(False, right < sizes.sure)) if n else np.empty(0, np.int64)
 
     def decided(self, i: int) -> np.ndarray:
         """Whether each offset from low to high is."""
@@ -156,7 +180,7 @@ class Bucket:
     def text(self, i: int) -> bytes:
         """What the windows of row i cover; that of the offset high starts first."""
         high = int(self.high[i])
-        return self.raw[i, LENGTH : LENGTH + high][::-1].tobytes() + self.raw[i, : LENGTH - int(self.low[i])].tobytes()
+        return self.raw[i, self.length : self.length + high][::-1].tobytes() + self.raw[i, : self.length - int(self.low[i])].tobytes()
 
     def resolve(self) -> Iterator[tuple[int, np.ndarray, list[int] | None]]:
         """(row, decided, hashes): hashes of windows for other buckets to compare, of clusters with the leading bytes of the first or
@@ -179,10 +203,10 @@ class Bucket:
                 last = len(done[i]) - 1
                 asked[i] = []
                 for k in range(last + 1):
-                    window = text[last - k : last - k + LENGTH]
+                    window = text[last - k : last - k + self.length]
                     h = xxhash.xxh3_64_intdigest(window)
                     j, m = owner.setdefault(h, (i, k))
-                    if (j, m) != (i, k) and _window(texts[j], m, len(done[j])) != window:
+                    if (j, m) != (i, k) and _window(texts[j], m, len(done[j]), self.length) != window:
                         j, m = owner.setdefault((h, window), (i, k))
                     if (j, m) != (i, k):
                         done[j][m] = done[i][k] = True
@@ -191,9 +215,9 @@ class Bucket:
             yield from ((i, d, asked[i] if outer else None) for i, d in done.items())
 
 
-def _window(text: bytes, k: int, offsets: int) -> bytes:
+def _window(text: bytes, k: int, offsets: int, length: int) -> bytes:
     """The window of the k-th of so many ascending offsets in a bucket's ``text``."""
-    return text[offsets - 1 - k : offsets - 1 - k + LENGTH]
+    return text[offsets - 1 - k : offsets - 1 - k + length]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -217,10 +241,10 @@ def _by_uid(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(r["uid"][at]), pa.array([r[a : a + m].tobytes() for a, m in zip(at, n, strict=True)], pa.binary())], names=["uid", "ranges"])
 
 
-def _suffixes(docs: DataFrame) -> DataFrame:
+def _suffixes(docs: DataFrame, sizes: Sizes) -> DataFrame:
     """A table of PARTS: suffixes (key set), documents that have some (text set), and all others (sha set)."""
     size, parts = blobs.table_size(docs), blobs.partitions(docs)
-    bits, homes = blobs.bits_for(2 * size // (REACH // 2), parts), blobs.homes_for(2 * size, parts)
+    bits, homes = blobs.bits_for(2 * size // (sizes.reach // 2), parts), blobs.homes_for(2 * size, parts)
     rows = docs.select(common.row_ids(docs).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     @common.lean
@@ -229,8 +253,8 @@ def _suffixes(docs: DataFrame) -> DataFrame:
             p = blobs.Packer(bits)
             for b in common.slices(batches, 256):
                 texts = common.utf8(b.column(1))
-                for uid, text, (place, _, _) in zip(b.column(0).to_pylist(), texts, anchors(texts), strict=True):
-                    yield from p.add(uid, _sure_hashes(text, place))
+                for uid, text, (place, _, _) in zip(b.column(0).to_pylist(), texts, anchors(texts, sizes), strict=True):
+                    yield from p.add(uid, _sure_hashes(text, place, sizes))
             yield from p.flush()
 
         yield from blobs.batches(slots())
@@ -256,19 +280,19 @@ def _suffixes(docs: DataFrame) -> DataFrame:
         same: dict[tuple[bytes, int, int], list[bytes]] = {}
         uids, ids, texts = (left.column(c).to_pylist() for c in ("uid", "doc_id", "text"))
         hot = set(uid.tolist())
-        spots = dict(zip([u for u in uids if u in hot], anchors([t for u, t in zip(uids, texts, strict=True) if u in hot]), strict=True))
+        spots = dict(zip([u for u in uids if u in hot], anchors([t for u, t in zip(uids, texts, strict=True) if u in hot], sizes), strict=True))
         for u, doc_id, text in zip(uids, ids, texts, strict=True):
             if u not in hot:
                 out.append((u, doc_id, len(text), None, hashlib.sha256(text).hexdigest(), None, None, None, None))
                 continue
             place, first, last = spots[u]
             own = keys[np.searchsorted(uid, u) : np.searchsorted(uid, u, side="right")]
-            h = _sure_hashes(text, place) >> kept_bits
+            h = _sure_hashes(text, place, sizes) >> kept_bits
             hit = np.isin(h, own)
             out.append((u, doc_id, len(text), text, None, None, None, None, None))
             for a, p, q in zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
                 low, high = a - q, a - p
-                k = text[a : q + LENGTH].ljust(LENGTH, b"\0") + text[p:a][::-1].ljust(REACH, b"\0")
+                k = text[a : q + sizes.length].ljust(sizes.length, b"\0") + text[p:a][::-1].ljust(sizes.key - sizes.length, b"\0")
                 same.setdefault((k, low, high), []).append(struct.pack("<qq", u, a))
         out += [(None, None, None, None, None, k, low, high, b"".join(at)) for (k, low, high), at in same.items()]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
@@ -280,7 +304,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return common.write_table(texts.groupBy("slot").cogroup(back.groupBy("slot")).applyInArrow(build, PARTS), "suffixes", compression="zstd")
 
 
-def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
+def _repeated_ranges(suffixes: DataFrame, sizes: Sizes) -> DataFrame:
     """RANGES: first and last window start of repeated windows, some rows for each uid."""
     parts = blobs.partitions(suffixes)
     size = blobs.table_size(suffixes)
@@ -294,7 +318,7 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
         def slots() -> Iterator[tuple[int, bytes]]:
             if not rows:
                 return
-            bucket, p, base = Bucket(*map(list, zip(*rows, strict=True))), blobs.Packer(bits), TaskContext.get().partitionId() << 33
+            bucket, p, base = Bucket(*map(list, zip(*rows, strict=True)), sizes), blobs.Packer(bits), TaskContext.get().partitionId() << 33
             done: list[np.ndarray] = []
             sent = 0
             for i, flags, hashes in bucket.resolve():
@@ -333,10 +357,10 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
         for x in blocks:
             if x[0] == 0 and x[1] == 1:
                 uid, low, n = struct.unpack_from("<qII", x, 2)
-                flags, text, places = x[18 + 8 * n : 18 + 9 * n], x[18 + 9 * n : 17 + 10 * n + LENGTH], x[17 + 10 * n + LENGTH :]
+                flags, text, places = x[18 + 8 * n : 18 + 9 * n], x[18 + 9 * n : 17 + 10 * n + sizes.length], x[17 + 10 * n + sizes.length :]
                 for k, h in enumerate(np.frombuffer(x, "<u8", n, 18).tolist()):
                     if h and (uid, h >> int(kept_bits)) in pairs:
-                        digests.append(hashlib.blake2b(_window(text, k, n), digest_size=16).digest())
+                        digests.append(hashlib.blake2b(_window(text, k, n, sizes.length), digest_size=16).digest())
                         ranges.append(b"" if flags[k] else _placed(np.ones(1, bool), low + k, places).tobytes())
         yield pa.RecordBatch.from_arrays([pa.nulls(len(digests), pa.int64()), pa.array(ranges, pa.binary()), pa.array(digests, pa.binary())], names=["uid", "ranges", "digest"])
 
@@ -356,10 +380,10 @@ def _repeated_ranges(suffixes: DataFrame) -> DataFrame:
     return found.filter("digest IS NULL").select("uid", "ranges").union(more)
 
 
-def removed(text: bytes, ranges: np.ndarray) -> list[tuple[int, int]]:
+def removed(text: bytes, ranges: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes, as (start, end)."""
     out: list[tuple[int, int]] = []
-    for a, z in sorted(zip(ranges["first"].tolist(), (ranges["last"] + LENGTH).tolist(), strict=True)):
+    for a, z in sorted(zip(ranges["first"].tolist(), (ranges["last"] + length).tolist(), strict=True)):
         if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(z, out[-1][1])
         else:
@@ -367,6 +391,12 @@ def removed(text: bytes, ranges: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _words(text: bytes, a: int, z: int) -> int:
+    """Words that lie in text[a:z] whole."""
+    cut = [text[i - 1 : i + 1] for i in (a, z) if 0 < i < len(text)]
+    return len(text[a:z].split()) - sum(x.split() == [x] for x in cut)
+
+
 def _whole_characters(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs without the parts of characters at their ends."""
     out = []
@@ -384,12 +414,16 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:z] for a, z in zip(ends, [*(a for a, _ in runs), len(text)], strict=True))
 
 
-def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, texts: bool = False, length: int = LENGTH, words: int = 0) -> DataFrame:
     """uid (``common.row_ids`` of ``docs``), doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also ``kept``, the text without
-    the removed bytes (parts of characters stay), null where nothing was removed."""
-    parts = _suffixes(common.stored(docs))
+    the removed bytes (parts of characters stay), null where nothing was removed.
+
+    Bytes that repeated strings of ``length`` bytes cover are removed; with ``words``, runs of such bytes stay that have at most so many
+    whole words and fewer than 400 bytes. A passage of more words has 2 * words + 1 bytes or more: at that length none is missed."""
+    sizes = Sizes.of(length)
+    parts = _suffixes(common.stored(docs), sizes)
     common.release(docs.sparkSession)
-    ranges = common.write_table(_repeated_ranges(parts), "ranges", compression="zstd")
+    ranges = common.write_table(_repeated_ranges(parts, sizes), "ranges", compression="zstd")
     common.release(docs.sparkSession)
 
     @common.lean
@@ -397,7 +431,9 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
         for b in common.slices(batches, 256):
             rows = []
             for uid, doc_id, text, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                runs = removed(text, np.frombuffer(b"".join(blocks or ()), _RANGE))
+                runs = removed(text, np.frombuffer(b"".join(blocks or ()), _RANGE), length)
+                if words:
+                    runs = [(a, z) for a, z in runs if z - a >= LENGTH or _words(text, a, z) > words]
                 sha = hashlib.sha256(_kept(text, runs)).hexdigest()
                 kept = _kept(text, _whole_characters(text, runs)) if texts and runs else None
                 rows.append((uid, doc_id, len(text), sum(z - a for a, z in runs), len(runs), sha, kept))

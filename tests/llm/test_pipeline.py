@@ -93,6 +93,38 @@ def test_stages_by_content(spark, folder, rows):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in ids.items()}
 
 
+def test_repeated_passages_of_over_50_words_are_cut(spark, tmp_path):
+    """Also those of fewer than 400 bytes, down to words of one byte; shorter ones stay. At that length all repeats are found."""
+    import random
+
+    from lumengraph.llm import common, suffix_dedup
+
+    rnd = random.Random(8)
+    text = lambda n, size=6: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(1, size))) for _ in range(n))
+    passages = {"long": text(51), "least": text(51, 1), "short": text(49), "many": text(60)}
+    assert all(len(p) < 400 for p in passages.values()) and len(passages["least"]) == 101
+    docs = [(k, f"A{i}. {text(20)} <{i}> {p} <{i + 500}> Z{i}. {text(20)}") for k, p in passages.items() for i in range(30 if k == "many" else 2)]
+    docs += [("once", text(300)), ("one", "".join(passages["long"].split()) * 2)]
+    rows = [(i, t, "en", "s", len(t)) for i, (_, t) in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in stage(spark, read, "suffix_dedup", str(tmp_path)).collect()}
+    for i, (k, t) in enumerate(docs):
+        if k in ("long", "least", "many"):  # with the passage go bytes beside it that all have in common
+            assert len(t) - len(passages[k]) - 12 < len(got[i]) < len(t) - len(passages[k]) and passages[k] not in got[i], k
+        else:
+            assert got[i] == t, k
+
+    seen = Counter(t[a : a + 101] for _, t in docs for a in range(len(t) - 100))
+    found = {r.doc_id: r.n_removed for r in common.write_table(suffix_dedup.dedup(read, length=101), "test-101").collect()}
+    for i, (_, t) in enumerate(docs):
+        gone = bytearray(len(t))
+        for a in range(len(t) - 100):
+            if seen[t[a : a + 101]] > 1:
+                gone[a : a + 101] = b"\1" * 101
+        assert found[i] == sum(gone)
+
+
 @pytest.mark.parametrize("name", ["toxicity", "jaccard_join", "suffix_dedup", "mixing"])
 def test_file_splits_may_change_within_a_stage(spark, folder, tmp_path, monkeypatch, name):
     """Rows keep their numbers when Spark cuts the files otherwise between the jobs of a stage; new columns' names may be taken."""
