@@ -253,6 +253,30 @@ def test_op4_components_of_shuffled_chains(spark):
     assert got == {x: min(c) for c in (one, two) for x in c}
 
 
+@pytest.mark.parametrize("few", [0, 500, 1_000_000])
+def test_op4_components_by_rounds_and_in_a_task(spark, monkeypatch, few):
+    from lumengraph.llm import common
+    from lumengraph.llm.components import components
+
+    p = random.Random(7).sample(range(10_000), 3000)
+    chain, star, pairs = p[:1000], p[1000:2000], p[2000:]
+    edges = [*zip(chain, chain[1:]), *((star[500], x) for x in star if x != star[500]), *zip(pairs[::2], pairs[1::2]), (-5, -5)]
+    table = common.write_table(spark.createDataFrame(edges, "a long, b long"), "edges")
+    written = []
+    monkeypatch.setattr(common, "write_table", lambda df, tag, f=common.write_table, **k: (written.append(tag), f(df, tag, **k))[1])
+    got = dict(map(tuple, components(table, few).collect()))
+    assert got == {x: min(c) for c in (chain, star, *zip(pairs[::2], pairs[1::2]), (-5,)) for x in c}
+    # few links: a single table rather than some of each round
+    assert (len(written) == 1) == (few > len(edges)) and written.count("parents") < 20
+
+
+def test_op4_components_of_no_links(spark):
+    from lumengraph.llm.components import components
+
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components(spark.createDataFrame([], "a long, b long"), 0).collect() == []
+
+
 def test_op5_counts(spark, folder, rows):
     from tokenizers import Tokenizer
 
