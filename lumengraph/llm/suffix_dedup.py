@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengraph.llm import blobs, common
+from lumengraph.llm import blobs, common, passages
 
 LENGTH, REACH, GRAM = 400, 128, 16
 #: Leading bytes by which suffixes are dealt into ranges; those that have them in common are split by a hash of the key, and
@@ -451,5 +451,8 @@ def dedup(docs: DataFrame, texts: bool = False, length: int = LENGTH, words: int
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(common.documents(spark, sf_dir)).drop("uid")
-    return out.withColumn("has_repeats", (F.col("n_removed") > 0).cast("int"))
+    docs = common.stored(common.documents(spark, sf_dir))
+    held = common.write_table(passages.holders(docs), "passages").withColumn("held", F.lit(1))
+    common.release(spark)
+    out = dedup(docs).join(held, "uid", "left")
+    return out.select("*", (F.col("n_removed") > 0).cast("int").alias("has_repeats"), F.col("held").isNotNull().cast("int").alias("has_passages")).drop("uid", "held")

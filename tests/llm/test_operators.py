@@ -607,6 +607,45 @@ def test_op10_repeats(spark, folder, rows):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_op10_passages(spark, folder, rows, tmp_path):
+    """Documents with 51 words in a row that are found elsewhere too, also where they have fewer than 400 bytes; 50 words aren't enough."""
+    rnd = random.Random(8)
+    text = lambda n: [f"{rnd.randrange(10**6)}" for _ in range(n)]
+    p51, p50, tight, twice = text(51), text(50), [rnd.choice("abcdefgh") for _ in range(51)], text(51)
+    made = [text(5) + p51 + text(9), text(70) + p51, text(5) + p50 + text(60), text(8) + p50, text(3) + tight, tight + text(4)]
+    made += [twice + text(3) + twice, text(300), ["a"] * 60, p51[1:] + text(4), ["b"] * 51]
+    spark.createDataFrame([(i, rnd.choice([" ", "\n", " \t"]).join(w)) for i, w in enumerate(made)], "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op10_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r.has_passages} == {0, 1, 4, 5, 6, 8} and not got[0].has_repeats and len(got) == len(made)
+
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode()) for r in rows]
+    seen = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = Counter((r[0], int(any(seen[tuple(w[i : i + 51])] > 1 for i in range(len(w) - 50)))) for r, w in zip(rows, words, strict=True))
+    assert Counter((r.doc_id, r.has_passages) for r in registry.QUERIES["op10_suffix_dedup"](spark, folder).collect()) == want
+    assert len({x for _, x in want}) == 2
+
+
+def test_op10_passages_in_blocks(monkeypatch):
+    """Records stay the same in blocks, with rows of far files too; equal hashes of anchors alone don't make windows equal."""
+    from lumengraph.llm import passages
+
+    rnd = random.Random(3)
+    passage = [f"w{rnd.randrange(300)}" for _ in range(80)]
+    texts = [" ".join([f"{rnd.randrange(10**6)}" for _ in range(rnd.randrange(90))] + passage[rnd.randrange(25) :][: rnd.randrange(48, 60)]).encode() for _ in range(60)] + [b"", b" "]
+    rows = np.arange(62) - 5
+    rows[30:] += 1 << 40
+    found = passages.records(texts, rows)
+    for at in (slice(0, 1), slice(None)):
+        part = passages.Records([found]).take(np.arange(len(found[0]))[at])
+        assert all((a == b).all() for a, b in zip(passages._unblock(passages._block(*part)), part, strict=True))
+    words = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = [r for r, w in zip(rows.tolist(), words, strict=True) if any(seen[tuple(w[i : i + 51])] > 1 for i in range(len(w) - 50))]
+    assert passages._repeated_rows(passages.Records([found])).tolist() == want and 5 < len(want) < 60
+    one = passages.Records([(found[0] * np.uint64(0), *found[1:])])
+    assert passages._repeated_rows(one).tolist() == want
+
+
 def test_op10_windows_that_share_a_hash(monkeypatch):
     """What only has another window's hash isn't removed: with one hash for all windows of a bucket, results stay."""
     from lumengraph.llm import suffix_dedup
