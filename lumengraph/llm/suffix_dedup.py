@@ -414,6 +414,12 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:z] for a, z in zip(ends, [*(a for a, _ in runs), len(text)], strict=True))
 
 
+def _release(spark: SparkSession) -> None:
+    """Drop the shuffle files of the step before this one too: those of the last one only go at the second collection of garbage."""
+    for _ in range(2):
+        common.release(spark)
+
+
 def dedup(docs: DataFrame, texts: bool = False, length: int = LENGTH, words: int = 0) -> DataFrame:
     """uid (``common.row_ids`` of ``docs``), doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``texts`` also ``kept``, the text without
     the removed bytes (parts of characters stay), null where nothing was removed.
@@ -422,9 +428,9 @@ def dedup(docs: DataFrame, texts: bool = False, length: int = LENGTH, words: int
     whole words and fewer than 400 bytes. A passage of more words has 2 * words + 1 bytes or more: at that length none is missed."""
     sizes = Sizes.of(length)
     parts = _suffixes(common.stored(docs), sizes)
-    common.release(docs.sparkSession)
+    _release(docs.sparkSession)
     ranges = common.write_table(_repeated_ranges(parts, sizes), "ranges", compression="zstd")
-    common.release(docs.sparkSession)
+    _release(docs.sparkSession)
 
     @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,6 +459,6 @@ def dedup(docs: DataFrame, texts: bool = False, length: int = LENGTH, words: int
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.stored(common.documents(spark, sf_dir))
     held = common.write_table(passages.holders(docs), "passages").withColumn("held", F.lit(1))
-    common.release(spark)
+    _release(spark)
     out = dedup(docs).join(held, "uid", "left")
     return out.select("*", (F.col("n_removed") > 0).cast("int").alias("has_repeats"), F.col("held").isNotNull().cast("int").alias("has_passages")).drop("uid", "held")
