@@ -103,7 +103,8 @@ def records(texts: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, ...]:
     change = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     n = np.diff(np.append(change, len(p)))
     windows = _sums(word, _IN_WINDOW, p, p + WINDOW) >> np.uint64(16)
-    return run[at[change]], rows[np.searchsorted(cut, p[change], side="right") - 1], n, windows
+    # least hashes are small ones: mixed again, buckets by their upper bits are even
+    return blobs.mixed(run[at[change]]), rows[np.searchsorted(cut, p[change], side="right") - 1], n, windows
 
 
 def _block(kind: np.ndarray, row: np.ndarray, n: np.ndarray, windows: np.ndarray) -> bytes:

@@ -642,6 +642,8 @@ def test_op10_passages_in_blocks(monkeypatch):
     seen = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
     want = [r for r, w in zip(rows.tolist(), words, strict=True) if any(seen[tuple(w[i : i + 51])] > 1 for i in range(len(w) - 50))]
     assert passages._repeated_rows(passages.Records([found])).tolist() == want and 5 < len(want) < 60
+    many = np.bincount((passages.records([" ".join(map(str, range(20000))).encode()], rows[:1])[0] >> np.uint64(61)).astype(int), minlength=8)
+    assert many.max() < 2 * many.min()
     one = passages.Records([(found[0] * np.uint64(0), *found[1:])])
     assert passages._repeated_rows(one).tolist() == want
 
